@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,6 @@ from pyspark.sql.window import Window
 ARROW_ROWS = 512
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches, so that a Python worker holds few texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,10 +47,6 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def crc32_ids(raw: bytes) -> int:
-    return zlib.crc32(raw) & 0xFFFFFFFF
-
-
 def paired_chunks(df: DataFrame, keys: list[str], spread: str, limit: int) -> DataFrame:
     """Cuts every group of keys into chunks of about limit rows and deals out pairs of chunks.
 
@@ -120,24 +111,22 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str, per_bin: int = 2
     the bins before them, so no task sorts a whole hot key. `order` should identify a row; rows that
     agree in it are whole repeats and may trade ranks. Null keys form a group of their own.
     """
-    sizes = stored(df.groupBy(F.col(key).alias("k")).agg(F.ceil(F.count("*") / per_bin).alias("bins")), "sizes")
-    rows = sizes.count()
-    sizes = F.broadcast(sizes) if rows <= 20_000 else sizes
-    hashed = F.xxhash64(F.lit(11), *[F.col(c) for c in order])
-    d = df.withColumn("h", hashed).join(sizes, F.col(key).eqNullSafe(F.col("k")), "left").drop("k")
+    sizes = stored(df.groupBy(F.col(key).alias("__k")).agg(F.ceil(F.count("*") / per_bin).alias("__bins")), "sizes")
+    keys = sizes.count()
+    sizes = F.broadcast(sizes) if keys <= 20_000 else sizes
+    d = df.withColumn("__h", F.xxhash64(F.lit(11), *[F.col(c) for c in order]))
+    d = d.join(sizes, F.col(key).eqNullSafe(F.col("__k")), "left")
     # the hash's upper 32 bits, unsigned, cut the key's rows into equal bins
-    d = d.withColumn("bin", F.floor(F.shiftrightunsigned("h", 32) * F.col("bins") / F.lit(float(1 << 32))).cast("int"))
-    d = stored(d.drop("bins"), "binned")
-    per = Window.partitionBy(key).orderBy("bin")
-    starts = d.groupBy(key, "bin").agg(F.count("*").alias("n"))
-    starts = starts.withColumn("start", F.sum("n").over(per) - F.col("n")).drop("n")
-    starts = starts.withColumnsRenamed({key: "k", "bin": "b"})
-    within = Window.partitionBy(key, "bin").orderBy("h", *order)
-    d = d.withColumn("r", F.row_number().over(within) - 1)
-    n = d.select(F.count("*")).first()[0] // per_bin + rows
-    starts = F.broadcast(starts) if n <= 50_000 else starts
-    d = d.join(starts, F.col(key).eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b")))
-    return d.withColumn(out, (F.col("start") + F.col("r")).cast("long")).drop("h", "bin", "r", "k", "b", "start")
+    share = F.shiftrightunsigned("__h", 32) / F.lit(float(1 << 32))
+    d = stored(d.withColumn("__bin", F.floor(share * F.col("__bins")).cast("int")).drop("__k", "__bins"), "binned")
+    starts = d.groupBy(F.col(key).alias("__k"), F.col("__bin").alias("__b")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))), "starts")
+    starts = F.broadcast(starts) if starts.count() <= 50_000 else starts
+    within = Window.partitionBy(key, "__bin").orderBy("__h", *order)
+    d = d.withColumn("__r", F.row_number().over(within) - 1)
+    d = d.join(starts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__bin") == F.col("__b")))
+    return d.select(*df.columns, (F.col("__start") + F.col("__r")).cast("long").alias(out))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -170,6 +159,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.union(e.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct()
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    tuned(df.sparkSession)
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for each application, so that they need no install of it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="heddle-code-")) / "heddle.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
+    return spark
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow with short batches; rows: how many a batch carries."""
+    shipped(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(f, schema)

@@ -98,8 +98,9 @@ class Forest:
             out[bad] = -1
         return out
 
-    def near(self, probe: np.ndarray, root: np.ndarray, radius: int, label: np.ndarray | None = None, whole: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(probe index, node) of all pairs within radius. With label: subtrees whole in a probe's own label are passed over."""
+    def near(self, probe: np.ndarray, root: np.ndarray, radius: int, label: np.ndarray | None = None, whole: np.ndarray | None = None, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(probe index, node) of all pairs within radius. With label: subtrees whole in a probe's own label are passed over.
+        most: pairs taken at a time; each may reach some 30 children, so this bounds memory."""
         todo = [(np.arange(len(probe)), root)]
         while todo:
             q, node = todo.pop()
@@ -197,8 +198,7 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], ["a", "b"])
 
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select("fp", *keys, "side")
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return dealt.mapInArrow(run, "a long, b long")
+    return common.map_arrow(dealt, run, "a long, b long", 20_000)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
