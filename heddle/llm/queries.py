@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import common, packing, simhash, tokenids
+from heddle.llm import ann, chat, common, embed_dedup, html_extract, packing, simhash, tokenids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(common.read(spark, sf_dir, "pages"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.read(spark, sf_dir, "embeddings"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    return chat.round_trip(turns.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
@@ -23,6 +37,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip(spark, common.read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_simhash, op8_packing, op9_token_ids)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(common.read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html, op3_nearest, op4_chat, op6_simhash, op8_packing, op9_token_ids, op10_embedding_dedup)}
 #: Where DuckDB's SQL can say the same.
 ORACLE: dict[str, str] = {}
