@@ -1,9 +1,8 @@
 """Token ids in binary shards, with a minimal perfect hash index from document keys to offsets.
 
 A shard file: the raw ids of its documents one after another, then a footer: the keys in order, and
-an index of exactly one slot a key. A key's bucket gives a displacement (or, if it is alone there, its
-slot at once), that gives the slot, and the slot holds a stored fingerprint of the key, the offset and
-the length: two array reads and a comparison for any key, and a stranger is refused but for one in 2**32.
+an index of exactly one slot a key. The slot holds a stored fingerprint of the key, the offset and the
+length, so a key costs a few array reads and a comparison, and a stranger is refused but for one in 2**32.
 
 Edge cases: a null or empty text is the end id alone; rows with equal doc_ids are told apart by their
 occurrence within a shard; null doc_ids come first and are keyed by a value of their own; an empty
@@ -51,47 +50,48 @@ def hashes(keys: np.ndarray, null: np.ndarray, nth: np.ndarray) -> np.ndarray:
 
 
 class PerfectHash:
-    """Slots 0 to n - 1 for n distinct hashes: hash, displace and compress."""
+    """Slots 0 to n - 1 for n distinct hashes.
 
-    def __init__(self, seeds: np.ndarray, n: int):
-        self.seeds, self.n = seeds, n
+    Level by level, each hash still unplaced picks a bit of an array of twice as many bits; those alone
+    on their bit stay there. A hash's slot is the rank of its bit among all set bits.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        """words: the levels' bits, 64 to a word; sizes: words of each level."""
+        self.words, self.sizes = words, sizes
+        self.ranks = np.cumsum(np.bitwise_count(words).astype(np.int64)) - np.bitwise_count(words)
 
     @staticmethod
-    def _slot(h: np.ndarray, d, n: int) -> np.ndarray:
+    def _bits(h: np.ndarray, level: int, words: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (_mix(h + np.uint64(d) * np.uint64(0xD1342543DE82EF95)) % np.uint64(n)).astype(np.int64)
+            return (_mix(h + np.uint64(level + 1) * np.uint64(0xD1342543DE82EF95)) % np.uint64(64 * words)).astype(np.int64)
 
     @classmethod
     def build(cls, h: np.ndarray) -> PerfectHash:
-        n = len(h)
-        if len(np.unique(h)) < n:
+        if len(np.unique(h)) < len(h):
             raise ValueError("two keys have one hash")
-        m = n // 4 + 1
-        bucket = (h >> np.uint64(20)) % np.uint64(m)
-        order = np.argsort(bucket, kind="stable")
-        sizes = np.bincount(bucket.astype(np.int64), minlength=m)
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        taken = np.zeros(n, dtype=bool)
-        seeds = np.zeros(m, dtype="<i4")
-        for b in np.argsort(-sizes, kind="stable"):
-            if sizes[b] < 2:
-                break
-            own = h[order[starts[b] : starts[b] + sizes[b]]]
-            for d in range(1, 1 << 30):
-                slot = cls._slot(own, d, n)
-                if not taken[slot].any() and len(set(slot.tolist())) == len(slot):
-                    taken[slot] = True
-                    seeds[b] = d
-                    break
-        alone = np.flatnonzero(sizes == 1)
-        seeds[alone] = -1 - np.flatnonzero(~taken)[: len(alone)]  # straight to a free slot
-        return cls(seeds, n)
+        levels = []
+        while len(h):
+            words = -(-2 * len(h) // 64)
+            bit = cls._bits(h, len(levels), words)
+            hits = np.bincount(bit, minlength=64 * words)
+            levels.append(np.packbits(hits == 1, bitorder="little").view("<u8"))
+            h = h[hits[bit] > 1]
+        return cls(np.concatenate(levels) if levels else np.zeros(0, "<u8"), np.array([len(x) for x in levels], dtype="<i8"))
 
     def slots(self, h: np.ndarray) -> np.ndarray:
-        d = self.seeds[((h >> np.uint64(20)) % np.uint64(len(self.seeds))).astype(np.int64)]
-        with np.errstate(over="ignore"):
-            far = (_mix(h + np.maximum(d, 0).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(self.n)).astype(np.int64)
-        return np.where(d < 0, -1 - d.astype(np.int64), far)
+        """Each hash's slot; -1 for strangers that meet no set bit."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        rest, base = np.arange(len(h)), 0
+        for level, words in enumerate(self.sizes.tolist()):
+            bit = self._bits(h[rest], level, words)
+            at = base + bit // 64
+            shift = (bit % 64).astype(np.uint64)
+            here = (self.words[at] >> shift) & np.uint64(1) == 1
+            below = np.bitwise_count(self.words[at] & ((np.uint64(1) << shift) - np.uint64(1)))
+            out[rest[here]] = self.ranks[at[here]] + below[here]
+            rest, base = rest[~here], base + words
+        return out
 
 
 def _print(h: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def write_shard(fs: pafs.FileSystem, path: str, batches: Iterator[tuple[list, li
         start = np.cumsum(size) - size
         prints, starts, sizes = np.zeros(n, dtype="<u4"), np.zeros(n, dtype="<i8"), np.zeros(n, dtype="<i8")
         prints[slot], starts[slot], sizes[slot] = _print(h), start, size
-        arrays = {"keys": key, "null": null.astype("u1"), "nth": nth.astype("<i8"), "seeds": index.seeds, "prints": prints, "starts": starts, "sizes": sizes}
+        arrays = {"keys": key, "null": null.astype("u1"), "nth": nth.astype("<i8"), "words": index.words, "levels": index.sizes, "prints": prints, "starts": starts, "sizes": sizes}
         head = json.dumps({"dtype": enc.dtype, "docs": n, "ids": int(size.sum()), "arrays": {k: [v.dtype.str, len(v)] for k, v in arrays.items()}}).encode()
         for v in arrays.values():
             out.write(v.tobytes())
@@ -153,7 +153,7 @@ class Shard:
             kind = np.dtype(kind)
             setattr(self, name, np.frombuffer(self.file.read_at(size * kind.itemsize, at), dtype=kind))
             at += size * kind.itemsize
-        self.index = PerfectHash(self.seeds, self.docs)
+        self.index = PerfectHash(self.words, self.levels)
 
     def find(self, keys: np.ndarray, null: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of each key's ids, -1 and 0 if the shard doesn't hold it."""
@@ -161,8 +161,7 @@ class Shard:
             return np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
         h = hashes(keys, null, nth)
         slot = self.index.slots(h)
-        slot = np.minimum(slot, self.docs - 1)
-        ok = self.prints[slot] == _print(h)
+        ok = (slot >= 0) & (self.prints[slot] == _print(h))
         return np.where(ok, self.starts[slot], -1), np.where(ok, self.sizes[slot], 0)
 
     def read(self, start: int, length: int) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -19,12 +20,21 @@ class _Words(dict):
 
     def __init__(self, encoder: Encoder, lead: str):
         self.encoder, self.lead = encoder, lead
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """The words so far become old; of them, those that were old already and weren't met again go."""
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        if (out := self.old.get(word)) is not None:
+            self[word] = out
+            return out
         if any(map(str.isspace, word)):
             raise _Odd
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            out = self[word[:-1]] + self.encoder.first[word[-1]] if len(word) > 1 else None
+            out = self[word[:-1]] + self.encoder.first[word[-1]]
         else:
             out = self.encoder.raw(self.lead + word)
         self[word] = out
@@ -40,16 +50,18 @@ class Encoder:
     special token's mark as a whole.
     """
 
-    def __init__(self, name: str = NAME, limit: int = 200_000):
-        """name: a file of public_tokenizers, or a path. limit: words kept at most, for each kind."""
+    def __init__(self, name: str = NAME, limit: int = 500_000):
+        """name: a file of public_tokenizers, or a path. limit: words kept in each of two generations, some
+        150 bytes a word."""
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.limit = limit
         self.first, self.later = _Words(self, ""), _Words(self, " ")
         self.line = self.raw("\n")
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids' bytes, in dtype; no end id."""
@@ -57,9 +69,10 @@ class Encoder:
             return b""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n":
             return self.raw(text)
-        if len(self.later) > self.limit or len(self.first) > self.limit:
-            self.first.clear()
-            self.later.clear()
+        if len(self.later) > self.limit:
+            self.later.age()
+        if len(self.first) > self.limit:
+            self.first.age()
         later, parts = self.later.__getitem__, []
         try:
             for line in text.split("\n"):
