@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import ann, chat, common, embed_dedup, html_extract, packing, simhash, tokenids
+from heddle.llm import ann, chat, common, embed_dedup, html_extract, langid, mixing, packing, simhash, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.read(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(common.read(spark, sf_dir, "pages"))
 
@@ -25,10 +29,19 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(turns.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.places(common.read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, common.read(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents"))
 
@@ -41,6 +54,6 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(common.read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html, op3_nearest, op4_chat, op6_simhash, op8_packing, op9_token_ids, op10_embedding_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_html, op3_nearest, op4_chat, op5_mixing, op6_simhash, op7_toxicity, op8_packing, op9_token_ids, op10_embedding_dedup)}
 #: Where DuckDB's SQL can say the same.
 ORACLE: dict[str, str] = {}

@@ -212,3 +212,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     moved = joined.join(least, "root").select("fp", "least")
     classes = fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+    """One row of docs for each class of near copies: its smallest doc_id's, with all columns.
+
+    Rows of null doc_id have no class id to be told apart by and all stay.
+    """
+    classes = near_duplicates(docs, shingle, radius, limit)
+    first = common.stored(classes.where("doc_id = component_id").select("doc_id"), "first")
+    n, distinct = first.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if n > distinct:  # whole repeats of an id
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
