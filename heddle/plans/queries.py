@@ -5,6 +5,8 @@ Doubles are rounded alike on both sides; arrays are joined into strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,17 +56,17 @@ def class_balance(spark: SparkSession, d: str) -> DataFrame:
     return profile.class_balance(transactions(spark, d)).select("is_laundering", "n", _r("share", 8))
 
 
-def _rate(name: str, by_sql: str, by: Column, column: str) -> None:
+def _rate(name: str, by_sql: str, by: Callable[[], Column], column: str) -> None:
     @query(name, sql(f"SELECT {by_sql} AS {column}, count(*) AS n, CAST(sum(is_laundering) AS BIGINT) AS illicit, round(avg(is_laundering), 8) AS rate FROM t GROUP BY 1"))
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return profile.rate_by(transactions(spark, d), by, column).select(column, "n", "illicit", _r("rate", 8))
+        return profile.rate_by(transactions(spark, d), by(), column).select(column, "n", "illicit", _r("rate", 8))
 
 
-_rate("rate_by_format", "payment_format", F.col("payment_format"), "payment_format")
-_rate("rate_by_currency", "pay_ccy", F.col("pay_ccy"), "pay_ccy")
-_rate("rate_by_day", "date_trunc('day', timestamp)", F.date_trunc("day", F.col("timestamp")), "day")
-_rate("rate_by_hour", "hour(timestamp)", F.hour("timestamp"), "hour")
-_rate("rate_by_weekday", "dayofweek(timestamp)", C.weekday(F.col("timestamp")), "weekday")
+_rate("rate_by_format", "payment_format", lambda: F.col("payment_format"), "payment_format")
+_rate("rate_by_currency", "pay_ccy", lambda: F.col("pay_ccy"), "pay_ccy")
+_rate("rate_by_day", "date_trunc('day', timestamp)", lambda: F.date_trunc("day", F.col("timestamp")), "day")
+_rate("rate_by_hour", "hour(timestamp)", lambda: F.hour("timestamp"), "hour")
+_rate("rate_by_weekday", "dayofweek(timestamp)", lambda: C.weekday(F.col("timestamp")), "weekday")
 
 
 @query("cross_currency", sql("SELECT is_laundering, count(*) AS n, count(*) FILTER (WHERE pay_ccy <> recv_ccy) AS n_cross, round(avg((pay_ccy <> recv_ccy)::INT), 8) AS share FROM t GROUP BY 1"))

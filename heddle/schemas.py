@@ -10,11 +10,20 @@ TIMESTAMP_FORMAT = "yyyy/MM/dd HH:mm"
 #: What identifies a payment apart from its label.
 KEY_COLUMNS = RAW_NAMES[:-1]
 
-TRANSACTIONS = T.StructType.fromDDL(
-    "txn_id long, timestamp timestamp, from_bank string, from_acct string, to_bank string, to_acct string, src string, dst string,"
-    " amt_received double, recv_ccy string, amt_paid double, pay_ccy string, payment_format string, is_laundering byte, is_self_loop boolean"
-)
-FINDINGS = T.StructType.fromDDL(
-    "detector string, account_ids array<string>, txn_ids array<long>, start_ts timestamp, end_ts timestamp, total_usd double, score double, detail string"
-)
+_STRINGS = T.ArrayType(T.StringType())
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+TRANSACTIONS = _struct(
+    txn_id=T.LongType(), timestamp=T.TimestampType(), from_bank=T.StringType(), from_acct=T.StringType(), to_bank=T.StringType(), to_acct=T.StringType(),
+    src=T.StringType(), dst=T.StringType(), amt_received=T.DoubleType(), recv_ccy=T.StringType(), amt_paid=T.DoubleType(), pay_ccy=T.StringType(),
+    payment_format=T.StringType(), is_laundering=T.ByteType(), is_self_loop=T.BooleanType(),
+)
+FINDINGS = _struct(
+    detector=T.StringType(), account_ids=_STRINGS, txn_ids=T.ArrayType(T.LongType()), start_ts=T.TimestampType(), end_ts=T.TimestampType(),
+    total_usd=T.DoubleType(), score=T.DoubleType(), detail=T.StringType(),
+)
 DETECTORS = ["temporal_cycle", "fan_in", "fan_out", "scatter_gather", "gather_scatter", "pass_through"]

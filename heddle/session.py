@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,17 +19,29 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
     return b.getOrCreate()
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (as in tests), a folder of our own."""
+    """spark.checkpoint.dir; where it is unset (as in tests), a folder of our own that goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="heddle-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            path = tempfile.mkdtemp(prefix="heddle-")
+            atexit.register(shutil.rmtree, path, True)
+            _own[app] = f"file://{path}"
+        folder = _own[app]
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}/{name}"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read again: lineage ends, lost executors don't matter."""
-    path = f"{shared_dir(df.sparkSession)}/heddle-{uuid.uuid4().hex}/{name}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
