@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,29 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one Arrow batch carries to Python; texts can be long, so batches are kept short.
-ARROW_ROWS = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="heddle-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from heddle.session import scratch, shared_dir, stored
 
+__all__ = ["scratch", "shared_dir", "stored"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}/{name}"
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, outlives lost executors, is computed once."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that one Arrow batch carries to Python; texts can be long, so batches are kept short.
+ARROW_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
