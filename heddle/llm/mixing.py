@@ -100,5 +100,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     """All rows of docs (doc_id, source, ...) with their columns, sorted into the mixed order."""
     p = common.stored(places(docs, weights, block, alpha, period), "places")
     p = p.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("slot").alias("__slot"), F.col("place").alias("__place"))
-    joined = docs.join(p, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    # places grow with the corpus: always a shuffle join, never a broadcast
+    joined = docs.join(p.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
     return joined.orderBy("__slot", "__place").select(*docs.columns)

@@ -222,7 +222,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, li
     classes = near_duplicates(docs, shingle, radius, limit)
     first = common.stored(classes.where("doc_id = component_id").select("doc_id"), "first")
     n, distinct = first.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    # the ids grow with the corpus: always a shuffle join, never a broadcast
+    kept = docs.join(first.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if n > distinct:  # whole repeats of an id
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
