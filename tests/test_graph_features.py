@@ -135,7 +135,7 @@ def test_transaction_features_see_only_the_past(spark):
 
 
 def test_ranks_and_split(spark):
-    d = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "a double, b double")
+    d = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0), (3.0, 30.0)], "a double, b double")
     assert sorted(x.ensemble for x in anomaly.mean_rank(d, ["a", "b"]).collect()) == pytest.approx([1 / 3, 2 / 3, 1])
     tied = scans.mean_ranks(spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double"), "v", "r")
     assert sorted(x.r for x in tied.collect()) == pytest.approx([0.5, 0.5, 1])
