@@ -86,7 +86,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int)
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def ranked(df: DataFrame, key: str, order: list[str], out: str, per_bin: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[str], out: str, per_bin: int = 1_000) -> DataFrame:
     """Adds out: the row's 0-based rank (long) within key, in the order of a hash of `order`.
 
     Hash-ordered bins of about per_bin rows each are ranked by a window and moved up by the sizes of
