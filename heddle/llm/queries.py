@@ -55,5 +55,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_html, op3_nearest, op4_chat, op5_mixing, op6_simhash, op7_toxicity, op8_packing, op9_token_ids, op10_embedding_dedup)}
-#: Where DuckDB's SQL can say the same.
-ORACLE: dict[str, str] = {}
+_USABLE = """embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0"""
+
+#: Where DuckDB's SQL can say the same; the others need fitted models, XXH64, an HTML parser or a tokenizer.
+ORACLE: dict[str, str] = {
+    "op3_nearest": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE}),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.x) = len(v.x))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
+    "op4_chat": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|\|[a-z]{1,16}:\d{1,9}\|>|/?INST\]|/?TURN\]|TEXT\])')) AS chars,
+    length(role) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|\|[a-z]{1,16}:\d{1,9}\|>|/?INST\]|/?TURN\]|TEXT\])')) AS role_chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + role_chars END) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    "op10_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+n AS (SELECT *, sqrt(list_inner_product(x, x)) AS norm FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)""",
+}
