@@ -67,12 +67,14 @@ def _sized(labels: DataFrame) -> DataFrame:
     return labels.join(sizes, "component").select("node", "component", "size")
 
 
-def _spread(labels: DataFrame, e: DataFrame, rounds: int) -> DataFrame:
-    """labels (node, label) with each label lowered to the smallest that reaches the node along e (a -> b)."""
+def _spread(labels: DataFrame, e: DataFrame, rounds: int, hops: int = 3) -> DataFrame:
+    """labels (node, label) with each label lowered to the smallest that reaches the node along e (a -> b); a round goes hops edges far."""
     last = None
     for _ in range(rounds):
-        sent = e.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("label").alias("got"))
-        labels = stored(labels.join(sent, F.col("node") == F.col("b"), "left").select("node", F.least("label", "got").alias("label")), "labels")
+        for _ in range(hops):
+            sent = e.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("label").alias("got"))
+            labels = labels.join(sent, F.col("node") == F.col("b"), "left").select("node", F.least("label", "got").alias("label"))
+        labels = stored(labels, "labels")
         last, done = _same(labels, ["node", "label"], last)
         if done:
             return labels
@@ -104,12 +106,17 @@ def strongly_connected(e: DataFrame, rounds: int = 1000) -> DataFrame:
         inside = stored(rest.join(ca, "a").join(cb, "b").where("la = lb").select("a", "b", F.col("la").alias("label")), "inside")
         # backward from each label's own node
         reached = stored(color.where("node = label"), "reached")
+        size = reached.count()
         while True:
-            more = inside.join(reached.select(F.col("node").alias("b"), F.col("label")), ["b", "label"], "left_semi").select(F.col("a").alias("node"), "label")
-            grown = stored(reached.union(more).distinct(), "reached")
-            if grown.count() == reached.count():
+            grown = reached
+            for _ in range(3):
+                more = inside.join(grown.select(F.col("node").alias("b"), F.col("label")), ["b", "label"], "left_semi").select(F.col("a").alias("node"), "label")
+                grown = grown.union(more).distinct()
+            reached = stored(grown, "reached")
+            now = reached.count()
+            if now == size:
                 break
-            reached = grown
+            size = now
         found = reached if found is None else found.union(reached)
         found = stored(found, "components")
         gone = reached.select("node")

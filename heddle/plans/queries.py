@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from heddle.config import Detectors
 from heddle.functions import columns as C
 from heddle.functions import scans
-from heddle.operators import anomaly, detectors, evaluation, features, fx, graph, profile, scoring, supervised, views
+from heddle.operators import anomaly, attribution, clusters, detectors, evaluation, features, fx, graph, profile, scoring, supervised, views
 from heddle.plans.adapter import CURRENCIES, SPARSE, T_SQL, USD, transactions
 from heddle.plans.registry import query
 from heddle.sources import transactions as source
@@ -530,3 +530,14 @@ def account_features(spark: SparkSession, d: str) -> DataFrame:
 def supervised_margins(spark: SparkSession, d: str) -> DataFrame:
     split = supervised.temporal_split(features.transaction_features(transactions(spark, d).where("amt_usd > -1"), (7,)))
     return supervised.margins(supervised.fit(split, rounds=3, depth=3), split)
+
+
+@query("density_clusters")
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.hdbscan(anomaly.principal_components(_matrix(spark, d), "acc", NUMERIC, 5), "acc", smallest=10, small=30)
+
+
+@query("attributions")
+def attributions(spark: SparkSession, d: str) -> DataFrame:
+    split = supervised.temporal_split(features.transaction_features(transactions(spark, d).where("amt_usd > -1"), (7,)))
+    return attribution.attributions(supervised.fit(split, rounds=3, depth=3), split.where("split = 'test'"))

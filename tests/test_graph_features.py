@@ -189,3 +189,29 @@ def test_empty_graph(net):
     none = net.where("false")
     assert graph.strongly_connected(none).count() == 0 and graph.weakly_connected(none).count() == 0
     assert graph.pagerank(none).count() == 0 and graph.clustering(none).count() == 0
+
+
+def test_density_clusters(spark):
+    from heddle.operators import clusters
+
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(0, 0.3, (80, 2)), rng.normal(5, 0.3, (60, 2)), rng.uniform(-10, 15, (12, 2))]
+    z = spark.createDataFrame([(f"n{i:03d}", list(map(float, r))) for i, r in enumerate(x)], "acc string, z array<double>")
+    tree = clusters.spanning_tree(z, "acc", 10, block=64).collect()
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(far, 1)[:, 9]
+    m = np.maximum(far, np.maximum(core[:, None], core[None]))
+    inside, rest, total = {0}, set(range(1, len(x))), 0.0
+    while rest:  # Prim
+        w, j = min((min(m[i, j] for i in inside), j) for j in rest)
+        total += w
+        inside.add(j)
+        rest.remove(j)
+    assert len(tree) == len(x) - 1 and sum(r.weight for r in tree) == pytest.approx(total)
+    got = {r.acc: r for r in clusters.hdbscan(z, "acc", smallest=10, small=70).collect()}
+    score = [got[f"n{i:03d}"] for i in range(len(x))]
+    assert np.mean([r.hdbscan_flag for r in score[:80]]) < 0.1 and np.median([r.hdbscan for r in score[:80]]) < 0.6
+    assert np.mean([r.hdbscan >= 0.75 for r in score[80:140]]) > 0.9  # a small cluster
+    assert np.mean([r.hdbscan_flag for r in score[140:]]) > 0.6
+    with pytest.raises(ValueError, match="at most"):
+        clusters.hdbscan(z, "acc", most=10)
