@@ -40,61 +40,77 @@ SKIPPED = frozenset(
     "nav footer aside form button select textarea script style noscript template iframe svg canvas object audio video map head title dialog menu math".split()
 )
 ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar form note status tooltip".split())
-#: Parts of class and id names that mark boilerplate.
+#: Parts of class and id names that mark boilerplate, unless a layout is said to have them or not.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|billboard|breadcrumbs?|comments?|commentlist|disqus|replies|respond|consent|cookies?|gdpr|disclaimer|footer\w*|foot|header\w*|masthead"
-    r"|menus?|menubar|modal|nav|navbar|navigation|newsletter|notice\w*|notification|alert|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|search\w*|share\w*|sharing|sidebar\w*|side"
-    r"|skip|social\w*|sponsor\w*|subscribe|subscription|signup|login|toolbar|topbar|widget\w*|tags|taglist|outbrain|taboola|warning)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])"
+    r"(?:ad|ads|adv|advert\w*|adsense|adsby\w*|banner\w*|billboard|breadcrumbs?|comments?|commentlist|colophon|consent|cookies?|copyright|discussion|disqus|disclaimer|foot|footer\w*|gdpr|legal"
+    r"|login|\w*menus?|menubar|modal|(?:top|side|main|sub|site|global|foot)?nav|navbar|navigation|newsletter|notices?|noticebox|notification|alert|overlay|pagination|pager|popup|privacy|promo\w*|rail"
+    r"|recommend\w*|related|replies|respond|responses?|search\w*|share\w*|sharing|sidebar\w*|sidebox|signup|skip|social\w*|sponsor\w*|subscribe|subscription|taboola|outbrain|taglist|toolbar|topbar|warning|widget\w*)"
+    r"(?=$|[\s_-])",
     re.I,
 )
+#: Outside an article these mark the page's own header; inside, the article's.
+HEADS = re.compile(r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:header\w*|masthead)(?=$|[\s_-])", re.I)
+#: So many lines in a row that are nothing but links are a menu.
+MENU = 3
+#: What text in marked parts alone must have to be an article.
+LEAST_CHARS, LEAST_LINES = 500, 3
 #: An end tag closes what is open inside it, but not beyond these.
 FENCES = frozenset("article aside body footer header html main nav section table".split())
 #: Start tags of these end an open p.
 ENDS_P = BLOCKS - {"html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """inside: within an article or main element, where a header holds the article's own title."""
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool, marks: bool) -> bool:
+    """inside: within an article or main element, where a header holds the article's own title; marks: names count."""
     if tag in SKIPPED or tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "article", "main") and not any(k == "class" and re.search(r"comment", v or "", re.I) for k, v in attrs):
-        return False
     for k, v in attrs:
+        v = v or ""
         if k in ("class", "id"):
-            if v and MARKS.search(v) and not (inside and tag == "header"):
+            if tag in ("html", "body", "article", "main"):
+                if tag == "article" and "comment" in v.lower():
+                    return True
+            elif marks and (MARKS.search(v) or not inside and HEADS.search(v)):
                 return True
+        elif tag in ("html", "body"):
+            continue
         elif k == "role":
-            if v and v.lower() in ROLES:
+            if v.lower() in ROLES:
                 return True
-        elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I):
+        elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.I):
             return True
     return False
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (text, tags, container)."""
+    """Cuts a page into lines: (text, tags, container, nothing but links)."""
 
-    def __init__(self) -> None:
+    def __init__(self, marks: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.marks = marks
+        self.links = 0  # open
+        self.plain = False  # the line has text outside links
         self.open: list[tuple[str, bool, int]] = []  # tag, begins a skipped part, container
         self.parents = [-1]  # of containers
         self.skip = 0
         self.inside = 0
         self.seen_article = False
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0, bool(text) and not self.plain))
+        self.text, self.tags, self.plain = [], 0, False
 
     def pop(self) -> None:
         tag, skips, _ = self.open.pop()
         self.skip -= skips
         self.inside -= tag in ("article", "main")
+        self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -108,7 +124,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        bad = _boilerplate(tag, attrs, self.inside > 0)
+        bad = _boilerplate(tag, attrs, self.inside > 0, self.marks)
         if tag in ("article", "main") and not bad and not self.seen_article:
             while self.skip and self.open:  # menus that were never closed end here
                 self.pop()
@@ -120,6 +136,7 @@ class _Lines(HTMLParser):
         self.open.append((tag, bad, at))
         self.skip += bad
         self.inside += tag in ("article", "main")
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -144,6 +161,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.text.append(data)
+            if not self.links and not self.plain and not data.isspace():
+                self.plain = True
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -154,18 +173,26 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def extract(html: str | None) -> str:
-    """The main text of a page."""
+    """The main text of a page. If class and id names mark all of it as boilerplate, they don't count, given
+    an article's length of text; a page of an advert alone has no main text."""
     if not html:
         return ""
-    parser = _Lines()
+    if text := _extract(html, True):
+        return text
+    text = _extract(html, False)
+    return text if len(text) >= LEAST_CHARS and text.count("\n\n") + 1 >= LEAST_LINES else ""
+
+
+def _extract(html: str, marks: bool) -> str:
+    parser = _Lines(marks)
     parser.feed(html)
     parser.close()
     parser.end_line()
     lines = parser.lines
-    sizes = np.array([len(t) for t, _, _ in lines], dtype=float)
+    sizes = np.array([len(x[0]) for x in lines], dtype=float)
     if not sizes.sum():
         return ""
-    ratios = smooth(sizes / np.maximum([k for _, k, _ in lines], 1))
+    ratios = smooth(sizes / np.maximum([x[1] for x in lines], 1))
     content = (ratios >= ratios.std()) & (sizes > 0)
     if not content.any():
         content = sizes > 0
@@ -178,13 +205,24 @@ def extract(html: str | None) -> str:
     whole = sizes[content].sum()
     # containers are numbered as they open: a child's number is larger than its parent's
     region = max(c for c, v in held.items() if v >= MOST * whole)
-    out = []
-    for text, _, at in lines:
-        if text:
-            while at > region:
-                at = parser.parents[at]
-            if at == region:
-                out.append(text)
+    out: list[str] = []
+    menu: list[str] = []
+    for text, _, at, links in lines:
+        if not text:
+            continue
+        while at > region:
+            at = parser.parents[at]
+        if at != region:
+            continue
+        if links:
+            menu.append(text)
+            continue
+        if len(menu) < MENU:
+            out += menu
+        menu = []
+        out.append(text)
+    if len(menu) < MENU:
+        out += menu
     return "\n\n".join(out)
 
 

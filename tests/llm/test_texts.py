@@ -89,6 +89,11 @@ LONG = "A first sentence of the article which is long enough to count as content
     (page(f"<div class='ad'>Buy</div><div id=content><p>{LONG}</p><p>a &lt;b&gt; &amp;&amp; c&#33;</p></div><aside>side</aside><div class='comments'><p>{LONG} I disagree</p></div>"), f"{LONG}\n\na <b> && c!"),
     (page(f"<div class=cookie-notice>We use cookies and like it very much indeed</div><main><p>{LONG}</p><form><p>Sign up</p><input></form><ul><li>one<li>two</ul></main>"), f"{LONG}\n\none\n\ntwo"),
     (page(f"<nav><ul><li>menu<article><p>{LONG}<p>end"), f"{LONG}\n\nend"),
+    (page(f"<div class='layout has-sidebar'><div class='site-header'><p>{LONG} Site</p></div><div id=post><div class='entry-body'><p>{LONG}</p><p>{LONG}</p></div></div><div class='sponsored'>{LONG}</div></div>"), f"{LONG}\n\n{LONG}"),
+    (page(f"<ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li><li><a href=/3>three</a></li></ul><p>{LONG}</p><p><a href=/4>a link</a></p><p>{LONG}</p>"), f"{LONG}\n\na link\n\n{LONG}"),
+    (page(f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><div class='notice'>Read this notice please</div><p>tail</p></article><section id=reader-comments><p>{LONG}</p></section>"), f"Title\n\n{LONG}\n\ntail"),
+    (page(f"<div class=widget><p>{LONG}</p></div>"), ""),
+    (page("<div class=widget>" + f"<p>{LONG}</p>" * 8 + "</div>"), "\n\n".join([LONG] * 8)),
     (page(f"<article><p>{LONG}</p><article class='comment'><p>{LONG} no</p></article><p>last</p></article>"), f"{LONG}\n\nlast"),
 ])
 def test_extract(html, want):
