@@ -3,11 +3,11 @@
 Terms are letter n-grams within words that labelled examples of class 1 hold far more often than those
 of class 0 (chi-squared), so that long texts keep the weight of a few telling words and inflected forms
 share terms. One automaton reads every whole text and counts the terms; document frequencies cover all
-documents. Examples are a bounded sample of labelled rows (`max_each` for each class). Their inverted
-index is cut into blocks of examples with each term's largest weight in each block; blocks whose bound
-can't reach the k-th best similarity are passed over, so the k nearest are exact. Votes are weighted by
-distance and by the classes' sampling rates, and calibrated by isotonic regression of each example's
-vote by its neighbours. The neighbours are the evidence.
+documents. Examples are a bounded sample of labelled rows: `max_each` of class 1, of class 0 with terms,
+and of class 0 without. Their inverted index is cut into blocks of examples with each term's largest
+weight in each block; blocks whose bound can't reach the k-th best similarity are passed over, so the k
+nearest are exact. Votes are weighted by distance and by the kinds' sampling rates, and calibrated by
+isotonic regression of each example's vote by its neighbours. The neighbours are the evidence.
 
 Edge cases: null, empty and term-free texts get the smoothed rate of class 1 among term-free examples;
 equal similarities go by the smaller example id; labels of null class or doc_id teach nothing, a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from heddle.llm import common
 
 SIZES = (4, 5, 6)
-#: Labelled examples of each class, and terms, at most.
+#: Labelled examples of each kind, and terms, at most.
 MAX_EACH = 1500
 MAX_TERMS = 1024
 K = 15
@@ -50,13 +50,17 @@ def grams(text: str) -> set[str]:
     return out
 
 
-def choose_terms(texts: list[str], labels: np.ndarray, most: int = MAX_TERMS, least: float = 12.0) -> list[str]:
-    """Terms that go with class 1: by chi-squared, at least `least`, in three examples or more, with thrice the rate of class 0."""
+def choose_terms(texts: list[str], labels: np.ndarray, most: int = MAX_TERMS, chance: float = 0.01) -> list[str]:
+    """Terms that go with class 1: in three examples or more, with thrice the rate of class 0, by chi-squared.
+
+    The least chi-squared rises with the candidates' number, so that few of them get in by chance.
+    """
     hits = (Counter(), Counter())
     for text, y in zip(texts, labels, strict=True):
         hits[int(y)].update(grams(text))
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     found = []
+    least = 2 * np.log((len(hits[0].keys() | hits[1].keys()) + 1) / chance)
     for term, a in hits[1].items():
         b = hits[0][term]
         if a < 3 or a / n1 < 3 * b / n0:
@@ -191,6 +195,29 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.where(common.fold_of(F.col("doc_id")) != 0).join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def _drawn(known: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, by a hash of their ids."""
+    return known.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(most)
+
+
+def _texts(docs: DataFrame, picked: DataFrame) -> list:
+    """Rows (doc_id, text, toxic) of the picked ids, a few thousand at most; of repeated ids the least text."""
+    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    return sorted((r for r in rows if r.text is not None), key=lambda r: r.doc_id)
+
+
+def _holding(docs: DataFrame, known: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows (doc_id, toxic) of known whose text holds a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(terms)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(read(t.as_py())) for t in b.column(1)], pa.bool_()))], ["doc_id"])
+
+    hits = common.map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long")
+    return known.join(hits.distinct(), "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_terms: int = MAX_TERMS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     known = common.stored(labelled(docs, labels), "labelled")
@@ -199,23 +226,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_terms:
     rate = sizes.get(1, 0) / total if total else 0.0
     if len(sizes) < 2:
         return Model([], np.zeros(0), None, np.zeros(0), np.zeros(0), rate, rate)
-    h = F.xxhash64(F.lit(13), "doc_id")
-    drawn = [known.where(F.col("toxic") == y).orderBy(h, "doc_id").limit(max_each) for y in (0, 1)]
-    picked = F.broadcast(drawn[0].union(drawn[1]))  # 2 * max_each rows
-    rows = docs.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows = _texts(docs, _drawn(known.where("toxic = 0"), max_each).union(_drawn(known.where("toxic = 1"), max_each)))
     y = np.array([r.toxic for r in rows])
     terms = choose_terms([r.text for r in rows], y, max_terms)
+    read = Reader(terms)
+    # class 0 rows that hold terms are few and tell the most: they are drawn anew, as a class of their own
+    hard = common.stored(_holding(docs, known.where("toxic = 0"), terms), "holding")
+    n_hard = hard.count()
+    counts = [read(r.text) for r in rows]
+    keep = [bool(r.toxic) or not c for r, c in zip(rows, counts, strict=True)]
+    rows = [r for r, k in zip(rows, keep, strict=True) if k] + _texts(docs, _drawn(hard, max_each))
+    counts = [c for c, k in zip(counts, keep, strict=True) if k]
+    group = np.array([r.toxic for r in rows])
+    group[len(counts) :] = 2
+    counts += [read(r.text) for r in rows[len(counts) :]]
+    y = (group == 1).astype(int)
+    whole = {0: sizes[0] - n_hard, 1: sizes[1], 2: n_hard}
     n, frequency = document_frequencies(docs, terms)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    read = Reader(terms)
-    vectors = [weigh(read(r.text), idf) for r in rows]
+    vectors = [weigh(c, idf) for c in counts]
     ids = np.array([r.doc_id for r in rows], dtype=np.int64)
     index = BlockMaxIndex(vectors, ids, max(1, len(terms)))
     at = np.array([index.place[int(i)] for i in ids])
     label, mass = np.zeros(len(ids)), np.zeros(len(ids))
     label[at] = y
-    mass[at] = np.array([sizes[k] / max(1, (y == k).sum()) for k in y.tolist()])
+    mass[at] = np.array([whole[k] / max(1, (group == k).sum()) for k in group.tolist()])
     bare = np.array([not len(v[0]) for v in vectors])
     m = mass[at]
     blank = float(((m * y)[bare].sum() + rate) / (m[bare].sum() + 1))
