@@ -23,7 +23,7 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (as in tests), a folder of our own that goes at exit."""
+    """spark.checkpoint.dir as a full URI; where it is unset (as in tests may be), a folder of our own that goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         app = spark.sparkContext.applicationId
@@ -32,12 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, path, True)
             _own[app] = f"file://{path}"
         folder = _own[app]
+    if "://" not in folder:  # a plain path is of the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if folder.startswith("file:/") and not folder.startswith("file://"):
+            folder = "file://" + folder.removeprefix("file:")
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}/{name}"
+    """A new path below the shared folder. On a local file system it goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
+    if folder.startswith("file://"):
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+    return f"{folder}/{name}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
