@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -149,7 +151,9 @@ def shipped(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="heddle-code-")) / "heddle.zip"
+        folder = tempfile.mkdtemp(prefix="heddle-code-")
+        atexit.register(shutil.rmtree, folder, True)  # Spark copies the file at once
+        path = Path(folder) / "heddle.zip"
         with zipfile.ZipFile(path, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
