@@ -33,6 +33,8 @@ AXES = 2
 LIMIT = 2048
 #: Room for rounding in the rotated coordinates, of unit vectors.
 EASE = 1e-6
+#: Candidate pairs verified at a time; their vectors are gathered.
+PAIRS = 32_768
 
 
 def rotation(dims: int, seed: int = 42) -> np.ndarray:
@@ -99,14 +101,18 @@ def matched(x: np.ndarray, y: np.ndarray, block: int, spans: list[tuple[int, int
     i, j = rows[i], cols[j]
     keep = i < j if i0 == 0 else np.ones(len(i), dtype=bool)
     i, j = i[keep], j[keep]
+    norm = np.sqrt(ann.dots(x, x))
+    found = [_verified(x, y, norm, block, spans, cosine, i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def _verified(x: np.ndarray, y: np.ndarray, norm: np.ndarray, block: int, spans: list[tuple[int, int]], cosine: float, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for at, (lo, hi) in enumerate(spans[: block + 1]):
-        if not len(i):
-            break
         # the same test wherever a pair is met, so exactly one block counts it
         gap = y[i, lo:hi] - y[j, lo:hi]
-        within = ann.dots(gap, gap) <= budget * (hi - lo) / y.shape[1] + EASE / 2
+        within = ann.dots(gap, gap) <= (2 - 2 * cosine) * (hi - lo) / y.shape[1] + EASE / 2
         i, j = (i[within], j[within]) if at == block else (i[~within], j[~within])
-    norm = np.sqrt(ann.dots(x, x))
     ok = ann.dots(x[i], x[j]) / (norm[i] * norm[j]) >= cosine
     return i[ok], j[ok]
 
