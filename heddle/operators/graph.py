@@ -244,9 +244,8 @@ def illicit_context(t: DataFrame) -> DataFrame:
     s, r = (bad.select(F.col("acc").alias(x), F.lit(1).alias(f"b_{x}")) for x in ("src", "dst"))
     near = p.join(s, "src", "left").join(r, "dst", "left").where("b_src = 1 or b_dst = 1")
     around = near.select(F.explode(F.array("src", "dst")).alias("acc")).distinct()
-    return near.agg(F.count("*").alias("context_pairs"), F.coalesce(F.sum("bad"), F.lit(0)).alias("illicit_pairs")).join(
-        around.agg(F.count("*").alias("context_accounts")).join(bad.agg(F.count("*").alias("illicit_accounts")))
-    )
+    counts = near.agg(F.count("*").alias("context_pairs"), F.coalesce(F.sum("bad"), F.lit(0)).alias("illicit_pairs"))
+    return counts.select("*", around.agg(F.count("*")).scalar().alias("context_accounts"), bad.agg(F.count("*")).scalar().alias("illicit_accounts"))
 
 
 def top_by(df: DataFrame, keys: list[str], value: str, n: int, ties: list[str]) -> DataFrame:

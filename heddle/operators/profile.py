@@ -11,7 +11,7 @@ from heddle.functions.columns import is_round, legs, micros
 def scale(t: DataFrame) -> DataFrame:
     accounts = legs(t).agg(F.count_distinct("acc").alias("n_accounts"))
     span = (F.max(micros(F.col("timestamp"))) - F.min(micros(F.col("timestamp")))) / 8.64e10
-    return t.agg(F.count("*").alias("n_txns"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), span.alias("days")).join(accounts)
+    return t.agg(F.count("*").alias("n_txns"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), span.alias("days")).select("*", accounts.scalar().alias("n_accounts"))
 
 
 def rate_by(t: DataFrame, by: Column, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def rate_by(t: DataFrame, by: Column, name: str) -> DataFrame:
 def class_balance(t: DataFrame) -> DataFrame:
     n = t.groupBy("is_laundering").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("is_laundering", "n", (F.col("n") / F.col("total")).alias("share"))  # one row
+    return n.select("is_laundering", "n", (F.col("n") / total.scalar()).alias("share"))
 
 
 def cross_currency(t: DataFrame) -> DataFrame:
