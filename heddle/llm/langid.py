@@ -14,7 +14,6 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,10 @@ BATCH = 512
 STEPS = 300
 #: Windows that are run side by side.
 SIDE = 4096
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
 class Network:
@@ -235,7 +237,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t and LETTER.search(t) else "" for t in b.column(2).to_pylist()]
+            texts = [t if has_letter(t) else "" for t in b.column(2).to_pylist()]
             if net is None:
                 best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             else:
@@ -255,7 +257,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.25) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t and LETTER.search(t) else "" for t in b.column(at).to_pylist()]
+            texts = [t if has_letter(t) else "" for t in b.column(at).to_pylist()]
             if net is not None and len(texts):
                 p = probabilities(net, texts).max(1)
                 yield b.filter(pa.array([bool(t) and x >= least for t, x in zip(texts, p, strict=True)], pa.bool_()))
