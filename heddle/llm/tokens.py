@@ -10,6 +10,10 @@ from tokenizers import Tokenizer
 NAME = "byte_bpe_50k.json"
 END = 0
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
 
 class _Odd(Exception):
     """A word holds white space of another kind, so cutting at spaces may not be exact."""
@@ -35,6 +39,8 @@ class _Words(dict):
             raise _Odd
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             out = self[word[:-1]] + self.encoder.first[word[-1]]
+        elif word.isalpha():
+            out = self.encoder.letters(self.lead, word)
         else:
             out = self.encoder.raw(self.lead + word)
         self[word] = out
@@ -54,6 +60,7 @@ class Encoder:
         """name: a file of public_tokenizers, or a path. limit: words kept in each of two generations, some
         150 bytes a word."""
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        self.model = self.library.model
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
         self.limit = limit
@@ -63,6 +70,16 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, lead: str, word: str) -> bytes:
+        """raw(lead + word) of a word of letters. With at most a space before it, that is one piece, which
+        the library's model takes as it is, its bytes written as the byte-level alphabet's characters."""
+        try:
+            word.encode("latin-1")  # of later scripts, versions of Unicode may know different letters
+        except UnicodeEncodeError:
+            return self.raw(lead + word)
+        piece = (lead + word).encode().decode("latin-1").translate(ALPHABET)
+        return array(self.code, [x.id for x in self.model.tokenize(piece)]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids' bytes, in dtype; no end id."""
         if not text:

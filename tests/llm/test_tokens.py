@@ -26,6 +26,12 @@ def test_ids_are_the_librarys(text):
     assert np.frombuffer(ENCODER.encode(text), "<u2").tolist() == ids_of(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(categories=["L"]), min_size=1, max_size=12))
+def test_words_of_letters_are_the_librarys(word):
+    assert np.frombuffer(ENCODER.encode(f"{word} {word}, {word}."), "<u2").tolist() == ids_of(f"{word} {word}, {word}.")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sé. ,\n\t 12中-<|>!"), max_size=40))
 def test_any_ids_are_the_librarys(text):
