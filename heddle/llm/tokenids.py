@@ -199,7 +199,8 @@ def write(docs: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, tokenizer:
         count, ids = write_shard(fs, path, rows(), tokenizer, task.taskAttemptId())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([count]), pa.array([ids])], ["shard", "path", "docs", "ids"])
 
-    return common.stored(common.map_arrow(d, run, META), "shards")
+    # one small row a shard: a few files hold them
+    return common.stored(common.map_arrow(d, run, META).repartition(1 + n // (shard_rows * 10_000)), "shards")
 
 
 def documents(shards: DataFrame) -> DataFrame:
