@@ -56,7 +56,7 @@ class Encoder:
     special token's mark as a whole.
     """
 
-    def __init__(self, name: str = NAME, limit: int = 500_000):
+    def __init__(self, name: str = NAME, limit: int = 300_000):
         """name: a file of public_tokenizers, or a path. limit: words kept in each of two generations, some
         150 bytes a word."""
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
