@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import shipped
+
 #: A leaf: its weighted value, and for each feature on its path (index, tests, share of training rows that stay).
 Leaf = tuple[float, list[tuple[int, list, float]]]
 
@@ -91,7 +93,7 @@ def attributions(model: PipelineModel, df: DataFrame, key: str = "txn_id") -> Da
             n = len(names)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(names * len(x), pa.string()), pa.array(x.ravel()), pa.array(s.ravel())], [key, "feature", "value", "shap"])
 
-    return v.mapInArrow(run, f"{key} long, feature string, value double, shap double")
+    return shipped(v).mapInArrow(run, f"{key} long, feature string, value double, shap double")
 
 
 def strongest(found: DataFrame, n: int = 10) -> DataFrame:

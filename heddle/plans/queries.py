@@ -129,10 +129,10 @@ def rate_checks(spark: SparkSession, d: str) -> DataFrame:
 @query("account_flows", sql("""SELECT acc, count(*) FILTER (WHERE role = 'out') AS n_out, count(DISTINCT other) FILTER (WHERE role = 'out') AS deg_out,
     round(coalesce(sum(amt_usd) FILTER (WHERE role = 'out'), 0), 7) AS usd_out_sum, round(coalesce(max(amt_usd) FILTER (WHERE role = 'out'), 0), 7) AS usd_out_max,
     count(*) FILTER (WHERE role = 'in') AS n_in, count(DISTINCT other) FILTER (WHERE role = 'in') AS deg_in,
-    round(coalesce(sum(amt_usd) FILTER (WHERE role = 'in'), 0), 7) AS usd_in_sum, round(coalesce(avg(amt_usd) FILTER (WHERE role = 'in'), 0), 9) AS usd_in_mean FROM legs GROUP BY acc"""))
+    round(coalesce(sum(amt_usd) FILTER (WHERE role = 'in'), 0), 7) AS usd_in_sum, round(coalesce(avg(amt_usd) FILTER (WHERE role = 'in'), 0), 12) AS usd_in_mean FROM legs GROUP BY acc"""))
 def account_flows(spark: SparkSession, d: str) -> DataFrame:
     f = features.account_flows(transactions(spark, d))
-    return f.select("acc", "n_out", "deg_out", _r("usd_out_sum"), _r("usd_out_max"), "n_in", "deg_in", _r("usd_in_sum"), _r("usd_in_mean", 9))
+    return f.select("acc", "n_out", "deg_out", _r("usd_out_sum"), _r("usd_out_max"), "n_in", "deg_in", _r("usd_in_sum"), _r("usd_in_mean", 12))
 
 
 @query("account_mix", sql("""SELECT acc, round(avg((payment_format = 'purchase')::INT), 8) AS share_fmt_purchase, round(avg((pay_ccy <> recv_ccy)::INT), 8) AS cross_ccy_share,

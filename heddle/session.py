@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,22 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, once its application's executors have been sent this package, which functions in Python refer to."""
+    app = df.sparkSession.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="heddle-code-")
+        atexit.register(shutil.rmtree, folder, True)  # Spark copies the file at once
+        path = Path(folder) / "heddle-library.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        df.sparkSession.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
+    return df
