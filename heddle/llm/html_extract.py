@@ -4,8 +4,10 @@ One streaming pass of the standard library's HTMLParser cuts a page into lines a
 line keeps its text, the tags seen in it and its chain of containers. Lines inside elements that are
 boilerplate by name, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) never count as text. The ratios of text to tags are smoothed by a Gaussian,
-and lines over the ratios' standard deviation form the content cluster. The region is the deepest
-container that holds most of that cluster's text; all of its lines are returned, the short ones too.
+and lines over the ratios' standard deviation form the content cluster. The region is the article and
+main elements that hold the cluster's text, a main alone if it holds most, with the page's titles (h1) if
+they have none; where such elements don't hold most of it, the lowest container of the whole cluster and
+of the titles. All lines of the region are returned, the short ones too.
 
 Edge cases: null or empty html, and pages without text, give ""; unclosed elements end where their
 parent does; very long pages are parsed in one pass; repeated rows each give a row; other columns of
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from heddle.llm import common
 
 SIGMA = 1.0
-#: Share of the content cluster's text that the region must hold.
+#: Share of the content cluster's text that article and main elements must hold to be the region.
 MOST = 0.6
 
 BLOCKS = frozenset(
@@ -84,7 +86,7 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool, ma
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (text, tags, container, nothing but links)."""
+    """Cuts a page into lines: (text, tags, container, nothing but links, in an h1)."""
 
     def __init__(self, marks: bool = True) -> None:
         super().__init__(convert_charrefs=True)
@@ -93,17 +95,19 @@ class _Lines(HTMLParser):
         self.plain = False  # the line has text outside links
         self.open: list[tuple[str, bool, int]] = []  # tag, begins a skipped part, container
         self.parents = [-1]  # of containers
+        self.kinds = [""]  # their tags
         self.skip = 0
         self.inside = 0
         self.seen_article = False
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.text: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0, bool(text) and not self.plain))
+            title = bool(text) and any(tag == "h1" for tag, _, _ in self.open)
+            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0, bool(text) and not self.plain, title))
         self.text, self.tags, self.plain = [], 0, False
 
     def pop(self) -> None:
@@ -132,6 +136,7 @@ class _Lines(HTMLParser):
         at = self.open[-1][2] if self.open else 0
         if tag in CONTAINERS:
             self.parents.append(at)
+            self.kinds.append(tag)
             at = len(self.parents) - 1
         self.open.append((tag, bad, at))
         self.skip += bad
@@ -183,6 +188,18 @@ def extract(html: str | None) -> str:
     return text if len(text) >= LEAST_CHARS and text.count("\n\n") + 1 >= LEAST_LINES else ""
 
 
+def _lowest(parents: list[int], at: list[int]) -> int:
+    """The lowest container around all of at."""
+    low = at[0]
+    for c in at[1:]:
+        while c != low:
+            if c > low:
+                c = parents[c]
+            else:
+                low = parents[low]
+    return low
+
+
 def _extract(html: str, marks: bool) -> str:
     parser = _Lines(marks)
     parser.feed(html)
@@ -196,23 +213,30 @@ def _extract(html: str, marks: bool) -> str:
     content = (ratios >= ratios.std()) & (sizes > 0)
     if not content.any():
         content = sizes > 0
+    # containers are numbered as they open: a child's number is larger than its parent's
+    top = [-1] * len(parser.parents)  # the outermost article or main around each
+    for c, parent in enumerate(parser.parents):
+        top[c] = top[parent] if parent >= 0 and top[parent] >= 0 else c if parser.kinds[c] in ("article", "main") else -1
     held: dict[int, float] = defaultdict(float)
     for i in np.flatnonzero(content):
-        at = lines[i][2]
-        while at >= 0:
-            held[at] += sizes[i]
-            at = parser.parents[at]
+        held[top[lines[i][2]]] += sizes[i]
     whole = sizes[content].sum()
-    # containers are numbered as they open: a child's number is larger than its parent's
-    region = max(c for c, v in held.items() if v >= MOST * whole)
+    titles = [i for i, x in enumerate(lines) if x[4]]
+    if whole - held.pop(-1, 0.0) >= MOST * whole:
+        mains = [c for c, v in held.items() if parser.kinds[c] == "main" and v >= MOST * whole]
+        tops = set(mains or held)
+        own = any(top[lines[i][2]] in tops for i in titles)
+        inside = [top[x[2]] in tops or x[4] and not own for x in lines]
+    else:
+        region = _lowest(parser.parents, [lines[i][2] for i in (*np.flatnonzero(content), *titles)])
+        under = [c == region for c in range(len(parser.parents))]
+        for c, parent in enumerate(parser.parents):
+            under[c] |= parent >= 0 and under[parent]
+        inside = [under[x[2]] for x in lines]
     out: list[str] = []
     menu: list[str] = []
-    for text, _, at, links in lines:
-        if not text:
-            continue
-        while at > region:
-            at = parser.parents[at]
-        if at != region:
+    for (text, _, _, links, _), here in zip(lines, inside, strict=True):
+        if not text or not here:
             continue
         if links:
             menu.append(text)

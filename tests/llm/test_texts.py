@@ -100,6 +100,19 @@ def test_extract(html, want):
     assert html_extract.extract(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    (page(f"<article><h1>Title</h1><section>{f'<p>{LONG}</p>' * 7}</section><section>{f'<p>{LONG}</p>' * 13}</section></article>"), ["Title"] + [LONG] * 20),
+    (page(f"<div><h1>Title</h1><p>{LONG} Lead.</p><div class=body>{f'<p>{LONG}</p>' * 9}</div></div>"), ["Title", f"{LONG} Lead."] + [LONG] * 9),
+    (page(f"<h1>T</h1><div class=meta><span>by</span> <i>a</i> <b>b</b> <i>c</i> <b>d</b></div><div class=body>{f'<p>{LONG}</p>' * 9}</div>"), ["T", "by a b c d"] + [LONG] * 9),
+    (page(f"<h1>Title</h1><article>{f'<p>{LONG}</p>' * 9}</article><div>unmarked</div>"), ["Title"] + [LONG] * 9),
+    (page(f"<div>{f'<p>{LONG}</p>' * 7}</div><div>{f'<p>{LONG}</p>' * 13}</div>"), [LONG] * 20),
+    (page(f"<article>{f'<p>{LONG}</p>' * 7}</article><article>{f'<p>{LONG}</p>' * 13}</article>"), [LONG] * 20),
+    (page(f"<main><h1>Title</h1><article><div>{f'<p>{LONG}</p>' * 9}</div></article></main><div><p>{LONG} Unmarked</p></div>"), ["Title"] + [LONG] * 9),
+])
+def test_extract_keeps_all_sections(html, want):
+    assert html_extract.extract(html) == "\n\n".join(want)
+
+
 def test_smoothing_keeps_constants():
     assert html_extract.smooth(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
 
