@@ -33,16 +33,21 @@ SEED = 42
 LIMIT = 16_384
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits; bit i is set if it is set in over half of the shingles' XXH64 values."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of words; one of the whole text if it has fewer words, none if it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits; bit i is set if it is set in over half of the shingles' XXH64 values."""
+    h = hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -219,7 +224,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, li
 
     Rows of null doc_id have no class id to be told apart by and all stay.
     """
-    classes = near_duplicates(docs, shingle, radius, limit)
+    return first_of(docs, near_duplicates(docs, shingle, radius, limit))
+
+
+def first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of their class (doc_id, component_id), and those without an id."""
     first = common.stored(classes.where("doc_id = component_id").select("doc_id"), "first")
     n, distinct = first.agg(F.count("*"), F.count_distinct("doc_id")).first()
     # the ids grow with the corpus: always a shuffle join, never a broadcast

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from heddle.llm import ann, common, embed_dedup, simhash
+import corpus_pipeline
+from heddle.llm import ann, common, embed_dedup, near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,6 +78,42 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(d.where("false")).collect() == [] and simhash.keep_first(d.where("false")).count() == 0
 
 
+def five_word_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_rows():
+    """Bases with copies of 0 to 9 changed words each (similarity from 1 down to about 0.6), and a large group around one base."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 80 + 5 * base)]
+        for changes in [0, 0, *range(10)] + [4] * 120 * (base == 0):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), changes):
+                copy[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", " ", "a b", "A  B", "a c"]
+    return [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+
+
+@pytest.mark.parametrize("limit", [1_000, 16])
+def test_near_copies_match_brute_force(spark, limit):
+    rows = sorted(near_rows())
+    sets = [five_word_set(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in near) > 300
+    want = classes(len(rows), near)
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows] + [(None, rows[0][1], "en", "s", 0), (0, rows[0][1], "en", "s", 0)], DOCS)
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(d, limit=limit).collect()}
+    assert got == dict(enumerate(want))
+    if limit == 1_000:
+        kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, d.where("doc_id is not null"), "").collect())
+        assert kept == sorted(set(want))
+        assert near_copies.keep_first(d).where("doc_id is null").count() == 1 and near_copies.keep_first(d.where("false")).count() == 0
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
