@@ -31,6 +31,8 @@ SPAN = 64
 MAX_DOCS = 300
 BATCH = 512
 STEPS = 300
+#: What a kept document's language must get of it.
+HALF = 0.5
 #: Windows that are run side by side.
 SIDE = 4096
 
@@ -49,6 +51,7 @@ class Network:
     def __init__(self, langs: list[str], hidden: int = HIDDEN, seed: int = 42):
         rng = np.random.default_rng(seed)
         self.langs, self.hidden = langs, hidden
+        self.seen: np.ndarray | None = None  # pairs of bytes in the training documents
         self.x = rng.normal(0, 0.3, (2, 2 * hidden, 256)).astype(np.float32)
         self.u = rng.normal(0, 0.4 / np.sqrt(hidden), (2, 2 * hidden, hidden)).astype(np.float32)
         self.v = rng.normal(0, 0.5 / np.sqrt(hidden), (2, len(langs), hidden)).astype(np.float32)
@@ -229,7 +232,24 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
     """A network for the languages of docs (doc_id, text, lang), None if there are none."""
     rows = sorted(sample(docs, max_docs).collect(), key=lambda r: (r.lang, r.doc_id, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    if not rows:
+        return None
+    net = train([r.text for r in rows], [r.lang for r in rows])
+    net.seen = np.zeros((256, 256), dtype=bool)
+    for r in rows:
+        raw = _lowered(r.text)
+        net.seen[raw[:-1], raw[1:]] = True
+    return net
+
+
+def _lowered(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+
+
+def familiar(net: Network, text: str) -> float:
+    """The share of the text's pairs of bytes, A-Z as a-z, that training documents have."""
+    raw = _lowered(text)
+    return float(net.seen[raw[:-1], raw[1:]].mean()) if net.seen is not None and len(raw) > 1 else 1.0
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -251,8 +271,12 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return common.map_arrow(d, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: Network | None, least: float = 0.25) -> DataFrame:
-    """The rows of docs whose text has a letter and a language of at least the given probability, with all their columns."""
+def keep_known(docs: DataFrame, net: Network | None, least: float = HALF) -> DataFrame:
+    """The rows of docs whose text has a letter and a language of at least the given probability, with all their columns.
+
+    The network knows no language but those it learned, so texts of other scripts get theirs by chance: at least
+    the same share of a text's pairs of bytes must occur in training documents.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +284,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.25) -> Dat
             texts = [t if has_letter(t) else "" for t in b.column(at).to_pylist()]
             if net is not None and len(texts):
                 p = probabilities(net, texts).max(1)
-                yield b.filter(pa.array([bool(t) and x >= least for t, x in zip(texts, p, strict=True)], pa.bool_()))
+                yield b.filter(pa.array([bool(t) and x >= least - 1e-6 and familiar(net, t) >= least for t, x in zip(texts, p, strict=True)], pa.bool_()))
 
     return common.map_arrow(docs, run, docs.schema)
 

@@ -74,6 +74,15 @@ def test_language(spark):
     assert kept.columns == d.columns and {1000, 1001, 1002}.isdisjoint(r.doc_id for r in kept.collect()) and kept.where("doc_id < 300").count() == 301
 
 
+def test_unrecognised_texts_go(spark):
+    rng = np.random.default_rng(11)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(40)] for lang, letters in {"aa": "abcdé", "bb": "fghiö", "cc": "klmnñ", "dd": "oprst"}.items()}
+    rows = [(i, " ".join(rng.choice(w, 60)), lang) for i, (lang, w) in enumerate([*words.items()] * 40)]
+    odd = ["中文字符的文章内容非常好" * 8, "съешь ещё этих мягких французских булок " * 8, "نص حكيم له سر قاطع وذو شأن عظيم " * 8, " ".join(x for t in zip(*words.values(), strict=True) for x in t)]
+    d = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows] + [(1000 + i, t, None, "s", 1) for i, t in enumerate(odd)] + [(1100, rows[0][1].upper().replace("É", "é"), None, "s", 1)], DOCS)
+    assert {r.doc_id for r in langid.keep_known(d, langid.fit(d)).collect()} == {r[0] for r in rows} | {1100}
+
+
 # ---------------------------------------------------------------- html
 def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
