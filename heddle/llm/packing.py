@@ -5,6 +5,10 @@ sequences and one rest. The driver sees only the histogram of piece lengths (at
 places lengths longest first, each into the packs with the most room, and keeps counts of packing
 patterns; the patterns are joined back to the pieces by their rank within their length.
 
+Given places of documents in an order (as of mixing), packs of all patterns are spread evenly and
+numbered along it, and take each length's pieces in that order, so a share of the sequences holds about
+that share of the order.
+
 Edge cases: a null or empty text is the end id alone; repeated rows are packed each; null doc_ids
 stay; an empty table gives no piece; other columns of the input are ignored.
 """
@@ -17,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from heddle.functions import scans
 from heddle.llm import common, tokens
 
 SIZE = 1024
@@ -113,6 +119,59 @@ def placed(cut: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, size: int = SIZE, tokenizer: str = tokens.NAME) -> DataFrame:
-    """A row for each piece of docs (doc_id, text), with its place in a sequence of at most size ids."""
-    return placed(common.stored(pieces(docs, size, tokenizer), "pieces"), size)
+def _summed(df: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds out: the sum of value over the rows of key before the row; __bin (dropped) cuts a key's rows along the order."""
+    d = common.stored(df.withColumn("__v", value), "binned")
+    starts = d.groupBy(F.col(key).alias("__k"), F.col("__bin").alias("__b")).agg(F.sum("__v").alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    within = Window.partitionBy(key, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__r", F.coalesce(F.sum("__v").over(within), F.lit(0)))
+    d = d.join(starts.hint("merge"), (F.col(key) == F.col("__k")) & (F.col("__bin") == F.col("__b")))
+    return d.select(*[c for c in df.columns if c != "__bin"], (F.col("__start") + F.col("__r")).cast("long").alias(out))
+
+
+def placed_along(cut: DataFrame, size: int = SIZE, per_bin: int = 2_000, step: int = 10_000) -> DataFrame:
+    """As placed, for pieces with a column position: sequences are filled and numbered along it."""
+    spark = cut.sparkSession
+    histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most size rows
+    rows, whole = [], 0
+    for p, (packs, runs) in enumerate(patterns(histogram, size)):
+        offset = 0
+        for length, times in runs:
+            rows.append((p, packs, length, times, offset))
+            offset += length * times
+        whole += packs
+    table = spark.createDataFrame(rows, "pattern long, packs long, len long, times long, off long")
+    bins = max(1, -(-whole // per_bin))
+    each = table.select("pattern", "packs").distinct().withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1, F.lit(step).cast("long"))))
+    each = each.repartition("pattern", "from").withColumn("nth", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("packs")) - 1)))
+    # the packs of a pattern come at even distances
+    each = each.select("pattern", ((F.col("nth") + 0.5) / F.col("packs")).alias("turn"), F.lit(0).alias("all"))
+    each = each.withColumn("__bin", F.floor(F.col("turn") * bins).cast("int"))
+    packs = common.stored(_summed(each, "all", ["turn", "pattern"], F.lit(1), "sequence_id").select("pattern", "sequence_id"), "packs")
+    # a pattern's distinct lengths add up to size at most, so there are under sqrt(2 * size) slots a pattern
+    slots = packs.join(F.broadcast(table.drop("packs")), "pattern").drop("pattern").withColumn("__bin", F.floor(F.col("sequence_id") / per_bin).cast("int"))
+    slots = _summed(slots, "len", ["sequence_id"], F.col("times"), "lo")
+    slots = slots.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    slots = slots.select("len", (F.col("lo") + F.col("t")).alias("at"), "sequence_id", (F.col("off") + F.col("t") * F.col("len")).alias("offset"))
+    pieces_ = sum(histogram.values())
+    ranked = scans.binned(cut, F.col("position"), max(per_bin, pieces_ // 1_000))
+    ranked = _summed(ranked, "length", ["position", "doc_id", "start", "ids_crc32"], F.lit(1), "rank")
+    joined = ranked.join(slots.hint("merge"), (F.col("length") == F.col("len")) & (F.col("rank") == F.col("at")))
+    return joined.select(*[c for c in cut.columns if c != "position"], "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, size: int = SIZE, tokenizer: str = tokens.NAME, places: DataFrame | None = None) -> DataFrame:
+    """A row for each piece of docs (doc_id, text), with its place in a sequence of at most size ids.
+
+    places: (doc_id, slot, place) as of mixing.places; sequences then follow that order.
+    """
+    cut = pieces(docs, size, tokenizer)
+    if places is None:
+        return placed(common.stored(cut, "pieces"), size)
+    first = places.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    width = places.agg(F.coalesce(F.max("place"), F.lit(0)) + 1).first()[0]
+    cut = common.stored(cut, "pieces").join(common.stored(first, "first").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    cut = cut.withColumn("position", F.coalesce(F.col("__at.slot") * width + F.col("__at.place"), F.lit(0))).drop("__id", "__at")
+    return placed_along(common.stored(cut, "placed"), size)

@@ -146,6 +146,21 @@ def test_mixing(spark):
     assert mixing.places(d.where("false")).count() == 0 and mixing.mix(d.where("false")).count() == 0
 
 
+def test_packing_follows_the_mixed_order(spark, monkeypatch):
+    words = "alpha beta gamma delta omega sigma".split()
+    rows = [(i, " ".join(words[(i + k) % 6] for k in range(60 + i * 7 % 40)), "en", "ab"[i % 2], 1) for i in range(1600)]
+    d = spark.createDataFrame([*rows, (None, "no id", None, None, None)], DOCS)
+    texts = {r[0]: r[1] for r in rows} | {None: "no id"}
+    for weights, share in (({"a": 1, "b": 1}, 0.5), ({"a": 3, "b": 1}, 0.75), ({"a": 1, "b": 3}, 0.25)):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        got = corpus_pipeline.packed(spark, corpus_pipeline.mixed(spark, d, ""), "").collect()
+        check_packing(got, texts, 1024)
+        order = [r.doc_id % 2 == 0 for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.doc_id is not None]
+        assert len(order) == 1600 and {r.sequence_id for r in got} == set(range(1 + max(r.sequence_id for r in got)))
+        for n in (200, 400, 800):  # both sources last that long
+            assert np.mean(order[:n]) == pytest.approx(share, abs=0.08)
+
+
 def pipeline_rows():
     rng = np.random.default_rng(8)
     rows = []
