@@ -1,5 +1,6 @@
 import collections
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -114,18 +115,34 @@ def test_packing(spark):
     assert packing.pack(d, 64).count() == len(rows) + 3 and packing.pack(d.where("false")).count() == 0
 
 
-def test_schedule_stays_within_a_block():
-    for weights in ({"a": 5, "b": 3, "c": 1, None: 0.2}, {"x": 1}, {f"s{i}": i**2 for i in range(40)}, {"a": 0, "b": 0}):
-        shares = mixing.quanta(weights)
-        plan = mixing.schedule(shares)
-        got = collections.Counter()
-        for t, s in enumerate(plan, 1):
-            got[s] += 1
-            assert all(abs(got[k] - t * w / len(plan)) < 1 for k, w in shares.items())
-        assert got == shares
-    assert mixing.quanta({}) == {}
-    with pytest.raises(ValueError):
-        mixing.quanta({"a": float("nan")})
+@pytest.mark.parametrize("weights", [{"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, {"a": Fraction(1, 3), "b": Fraction(2, 3)}, {"a": 1 / 3, "b": 2 / 3}, {"a": 0.00005, "b": 0.99995}, {"a": 3, None: 1}, {"a": 0.9, "b": 0.1}, {"big": 0.5} | {f"s{i}": 0.05 for i in range(10)}, {"a": 5}])
+def test_every_prefix_stays_within_a_block_of_the_given_weights(weights):
+    shares = mixing.exact(weights)
+    plan = mixing.schedule(shares)
+    total = sum(Fraction(str(w)) for w in weights.values())
+    got = collections.Counter()
+    for t in range(1, 100_001):  # the period repeats
+        got[plan[(t - 1) % len(plan)]] += 1
+        if t < 3000 or t % 97 == 0 or t > 99_000:
+            assert all(abs(got[s] - t * Fraction(str(w)) / total) < 1 for s, w in weights.items())
+
+
+def test_weights():
+    assert mixing.exact({}) == {} and mixing.exact({"a": 0, "b": 2}) == {"b": 1}
+    for bad in (float("nan"), -1, float("inf")):
+        with pytest.raises(ValueError):
+            mixing.exact({"a": bad})
+    with pytest.raises(ValueError, match="fewer digits"):
+        mixing.exact({"a": 0.123456789, "b": 1})
+
+
+def test_sources_of_no_weight_come_last(spark):
+    d = spark.createDataFrame([(i, "t", "en", "abc"[i % 3], 1) for i in range(90)], DOCS)
+    p = mixing.places(d, {"a": 1, "b": 0}, block=4).collect()
+    assert len(p) == 90
+    last = max(r.slot for r in p if r.source == "a")
+    rest = {r.slot: (r.source, r.block) for r in p if r.source != "a"}
+    assert min(rest) == last + 1 and [rest[k] for k in sorted(rest)] == [(s, j) for s in "bc" for j in range(8)]
 
 
 def test_mixing(spark):
