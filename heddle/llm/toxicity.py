@@ -1,19 +1,24 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are letter n-grams within words that labelled examples of class 1 hold far more often than those
-of class 0 (chi-squared), so that long texts keep the weight of a few telling words and inflected forms
-share terms. One automaton reads every whole text and counts the terms; document frequencies cover all
-documents. Examples are a bounded sample of labelled rows: `max_each` of class 1, of class 0 with terms,
-and of class 0 without. Their inverted index is cut into blocks of examples with each term's largest
-weight in each block; blocks whose bound can't reach the k-th best similarity are passed over, so the k
-nearest are exact. Votes are weighted by distance and by the kinds' sampling rates, and calibrated by
+Terms are words, runs of letters of any length. The vocabulary has every word that two labelled examples or
+more hold (a word of one example says nothing about a class); no number of terms is set. A word outside it is
+read as its longest beginning in it, so that inflected forms share terms. A term weighs
+(1 + log of its count) times its inverse document frequency, taken over all documents, times a gain: how
+surely its rate differs between the classes, (x / (x + c))**2 for its chi-squared x, where c is what the best
+of so many words without a tie to the class would reach, and FLOOR at least. So a few telling words in a
+long text count for more than all its ordinary ones, and a text without telling words still has neighbours.
+
+Examples are a bounded sample of labelled rows: `max_each` of class 1, of class 0 with telling words (gain
+over TELLING), and of class 0 without. Their inverted index is cut into blocks of examples with each term's
+largest weight in each block; blocks whose bound can't reach the k-th best similarity are passed over, so the
+k nearest are exact. Votes are weighted by distance and by the kinds' sampling rates, and calibrated by
 isotonic regression of each example's vote by its neighbours. The neighbours are the evidence.
 
-Edge cases: null, empty and term-free texts get the smoothed rate of class 1 among term-free examples;
-equal similarities go by the smaller example id; labels of null class or doc_id teach nothing, a
-document labelled both ways counts as class 1; without examples of both classes every score is the
-known rate, 0 without any; repeated rows each get a row; an empty table gives an empty result; other
-columns of the input are ignored.
+Edge cases: texts that are null, empty or hold no word of the vocabulary get the known rate of class 1;
+equal similarities go by the smaller example id; labels of null class or doc_id teach nothing, a document
+labelled both ways counts as class 1; texts over `max_chars` aren't drawn as examples (they are scored whole);
+without examples of both classes every score is the known rate, 0 without any; repeated rows each get a row;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,121 +35,107 @@ from pyspark.sql import functions as F
 
 from heddle.llm import common
 
-SIZES = (4, 5, 6)
-#: Labelled examples of each kind, and terms, at most.
-MAX_EACH = 1500
-MAX_TERMS = 1024
+#: Labelled examples of each kind at most, and characters of one.
+MAX_EACH = 1000
+MAX_CHARS = 100_000
 K = 15
 BLOCK = 32
+#: The least gain of a term, and that of a telling one.
+FLOOR, TELLING = 0.01, 0.25
+#: Letters of a word's beginning that may stand for it, at least.
+STEM = 6
 WORD = re.compile(r"[^\W\d_]+")
 
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def grams(text: str) -> set[str]:
-    out: set[str] = set()
-    for w in set(WORD.findall(text.lower())):
-        for n in SIZES:
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
-
+def words(text: str | None) -> Counter:
+    return Counter(WORD.findall(text.lower())) if text else Counter()
 
-def choose_terms(texts: list[str], labels: np.ndarray, most: int = MAX_TERMS, chance: float = 0.01) -> list[str]:
-    """Terms that go with class 1: in three examples or more, with thrice the rate of class 0, by chi-squared.
 
-    The least chi-squared rises with the candidates' number, so that few of them get in by chance.
-    """
+def vocabulary(counts: list[Counter], labels: np.ndarray, chance: float = 0.01) -> tuple[dict[str, int], np.ndarray]:
+    """Words that two examples or more hold, and their gains."""
     hits = (Counter(), Counter())
-    for text, y in zip(texts, labels, strict=True):
-        hits[int(y)].update(grams(text))
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    found = []
-    least = 2 * np.log((len(hits[0].keys() | hits[1].keys()) + 1) / chance)
-    for term, a in hits[1].items():
-        b = hits[0][term]
-        if a < 3 or a / n1 < 3 * b / n0:
-            continue
-        share = (a + b) / (n1 + n0)
-        if share < 1:
-            chi = ((a / n1 - share) ** 2 * n1 + (b / n0 - share) ** 2 * n0) / (share * (1 - share))
-            if chi >= least:
-                found.append((-chi, term))
-    return [t for _, t in sorted(found)[:most]]
-
-
-class Reader:
-    """Counts terms in whole texts."""
-
-    def __init__(self, terms: list[str]):
-        self.automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            self.automaton.add_word(t, i)
-        self.empty = not terms
-        if terms:
-            self.automaton.make_automaton()
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        if not text or self.empty:
-            return {}
-        return Counter(i for _, i in self.automaton.iter(text.lower()))
-
-
-def weigh(counts: dict[int, int], idf: np.ndarray) -> Vector:
-    """The unit TF-IDF vector as (terms, weights)."""
-    terms = np.array(sorted(counts), dtype=np.int64)
-    if not len(terms):
-        return terms, np.zeros(0)
-    w = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms]
-    return terms, w / np.sqrt((w * w).sum())
+    for c, y in zip(counts, labels, strict=True):
+        hits[int(y)].update(c.keys())
+    terms = sorted(w for w in hits[0].keys() | hits[1].keys() if hits[0][w] + hits[1][w] > 1)
+    n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
+    b, a = (np.array([h[t] for t in terms], dtype=float) for h in hits)
+    share = (a + b) / (n0 + n1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = ((a / n1 - share) ** 2 * n1 + (b / n0 - share) ** 2 * n0) / (share * (1 - share))
+    chi = np.nan_to_num(chi, posinf=0.0)
+    by_chance = 2 * np.log((len(hits[0].keys() | hits[1].keys()) + 1) / chance)
+    return {t: i for i, t in enumerate(terms)}, np.maximum((chi / (chi + by_chance)) ** 2, FLOOR)
+
+
+def known(counts: Counter, terms: dict[str, int]) -> dict[int, int]:
+    """Counts by term; a word outside the vocabulary is read as its longest beginning in it, of STEM letters or more."""
+    out: dict[int, int] = {}
+    for w, n in counts.items():
+        i = terms.get(w)
+        at = len(w) - 1
+        while i is None and at >= STEM:
+            i = terms.get(w[:at])
+            at -= 1
+        if i is not None:
+            out[i] = out.get(i, 0) + n
+    return out
 
 
 class BlockMaxIndex:
-    """Inverted lists in blocks of examples, with each term's largest weight in each block."""
+    """Inverted lists in blocks of examples; a cell is a term's list in a block, with its largest weight."""
 
     def __init__(self, vectors: list[Vector], ids: np.ndarray, n_terms: int, block: int = BLOCK):
         # examples of like vectors share blocks, so that bounds are tight
         lead = [(int(t[np.argmax(w)]) if len(t) else -1, int(i)) for (t, w), i in zip(vectors, ids, strict=True)]
         order = sorted(range(len(ids)), key=lambda i: lead[i])
-        self.ids, self.block = ids[order], block
+        self.ids = ids[order]
         self.place = {int(i): p for p, i in enumerate(self.ids)}
-        self.n, self.blocks = len(order), -(-len(order) // block)
+        self.n, self.block, self.blocks = len(order), block, -(-len(order) // block)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        self.weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        self.example = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
-        by = np.lexsort((self.example, term))
-        term, self.weight, self.example = term[by], self.weight[by], self.example[by]
-        # where the list of (term, block) starts
-        self.start = np.searchsorted(term * self.blocks + self.example // block, np.arange(n_terms * self.blocks + 1)).reshape(-1)
-        self.bound = np.zeros((self.blocks, n_terms))
-        np.maximum.at(self.bound, (self.example // block, term), self.weight)
-
-    def _scores(self, v: Vector, blocks: np.ndarray) -> np.ndarray:
-        """Similarities of all examples; those outside blocks get 0."""
-        cell = (v[0][:, None] * self.blocks + blocks[None, :]).ravel()
-        lo, n = self.start[cell], self.start[cell + 1] - self.start[cell]
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(v[1], len(blocks)), n), minlength=self.n)
+        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        example = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
+        by = np.lexsort((example, term))
+        self.weight, self.example = weight[by], example[by].astype(np.int32)
+        cells, start = np.unique(term[by] * self.blocks + self.example // block, return_index=True)
+        self.start = np.r_[start, len(by)]
+        self.most = np.maximum.reduceat(self.weight, start) if len(by) else np.zeros(0)
+        self.at = (cells % max(1, self.blocks)).astype(np.int32)
+        self.first = np.searchsorted(cells, np.arange(n_terms + 1) * self.blocks)
+
+    def _spread(self, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The positions lo, lo + 1, ... of n each."""
+        return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def _scores(self, cell: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Similarities of all examples, over the given cells."""
+        n = self.start[cell + 1] - self.start[cell]
+        at = self._spread(self.start[cell], n)
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), minlength=self.n)
 
     def nearest(self, v: Vector, k: int = K, but: int | None = None) -> Vector:
         """Places and similarities of the k nearest with similarity over 0; but: a place left out."""
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(v[0]) or not self.n:
             return none
-        bound = self.bound[:, v[0]] @ v[1]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        first = order[: max(2, 2 * k // self.block + 1)]
-        s = self._scores(v, first)
+        n = self.first[v[0] + 1] - self.first[v[0]]
+        cell, w = self._spread(self.first[v[0]], n), np.repeat(v[1], n)
+        block = self.at[cell]
+        bound = np.bincount(block, self.most[cell] * w, minlength=self.blocks)
+        # blocks of the highest bounds first; the k-th best in them is what the others must reach
+        lead = np.zeros(self.blocks, dtype=bool)
+        lead[np.argsort(-bound, kind="stable")[: max(2, 2 * k // self.block + 1)]] = True
+        now = lead[block]
+        s = self._scores(cell[now], w[now])
         if but is not None:
             s[but] = 0
         kth = np.partition(s, -k)[-k] if self.n > k else 0.0
-        rest = order[len(first) :]
-        rest = rest[bound[rest] >= kth - 1e-9]
-        if len(rest):
-            more = self._scores(v, rest)
+        rest = ((bound >= kth - 1e-9) & ~lead)[block]
+        if rest.any():
+            s += self._scores(cell[rest], w[rest])
             if but is not None:
-                more[but] = 0
-            s += more
+                s[but] = 0
         hit = np.flatnonzero(s > 0)
         best = hit[np.lexsort((self.ids[hit], -np.round(s[hit], 12)))][:k]
         return best, np.minimum(s[best], 1.0)
@@ -165,25 +155,33 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    terms: dict[str, int]
+    scale: np.ndarray
     index: BlockMaxIndex | None
     label: np.ndarray
     mass: np.ndarray
     rate: float
-    blank: float
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
+    def weigh(self, counts: Counter) -> Vector:
+        """The unit vector as (terms, weights)."""
+        held = known(counts, self.terms)
+        term = np.array(sorted(held), dtype=np.int64)
+        if not len(term):
+            return term, np.zeros(0)
+        w = (1 + np.log([held[t] for t in term.tolist()])) * self.scale[term]
+        return term, w / np.sqrt((w * w).sum())
+
     def vote(self, places: np.ndarray, near: np.ndarray) -> float:
         """The weighted share of class 1; the known rate weighs as much as a neighbour without likeness."""
         w = self.mass[places] / (1.05 - near) ** 2
         return float(((w * self.label[places]).sum() + self.rate * self.mass.mean()) / (w.sum() + self.mass.mean()))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The score and its evidence: (example id, label, similarity), nearest first."""
-        places, near = self.index.nearest(weigh(counts, self.idf)) if self.index is not None else (np.zeros(0, np.int64), np.zeros(0))
+        places, near = self.index.nearest(self.weigh(words(text))) if self.index is not None else (np.zeros(0, np.int64), np.zeros(0))
         if not len(places):
-            return self.blank, []
+            return self.rate, []
         raw = self.vote(places, near)
         p = float(np.interp(raw, *self.knots)) if self.knots is not None else raw
         return min(max(p, 0.001), 0.999), [(int(self.index.ids[i]), int(self.label[i]), float(s)) for i, s in zip(places, near, strict=True)]
@@ -200,64 +198,73 @@ def _drawn(known: DataFrame, most: int) -> DataFrame:
     return known.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(most)
 
 
-def _texts(docs: DataFrame, picked: DataFrame) -> list:
+def _texts(docs: DataFrame, picked: DataFrame, max_chars: int) -> list:
     """Rows (doc_id, text, toxic) of the picked ids, a few thousand at most; of repeated ids the least text."""
-    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    fit_for = docs.where(F.length("text") <= max_chars)
+    rows = fit_for.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     return sorted((r for r in rows if r.text is not None), key=lambda r: r.doc_id)
 
 
-def _holding(docs: DataFrame, known: DataFrame, terms: list[str]) -> DataFrame:
-    """Rows (doc_id, toxic) of known whose text holds a term."""
+def _counted(docs: DataFrame, terms: dict[str, int], telling: set[int]) -> DataFrame:
+    """Over all docs, rows (doc_id, term, n): n documents hold the term (-1: n documents in all); for documents that hold a telling word, a row of their id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(terms)
+        hits, n = np.zeros(len(terms) + 1, dtype=np.int64), 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(read(t.as_py())) for t in b.column(1)], pa.bool_()))], ["doc_id"])
+            holds = []
+            for t in b.column(1):
+                n += 1
+                own = known(words(t.as_py()), terms).keys()
+                hits[list(own)] += 1
+                holds.append(not telling.isdisjoint(own))
+            ids = b.column(0).filter(pa.array(holds, pa.bool_())).drop_null()
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], ["doc_id", "term", "n"])
+        hits[-1] = n
+        some = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(np.where(some == len(terms), -1, some)), pa.array(hits[some])], ["doc_id", "term", "n"])
 
-    hits = common.map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long")
-    return known.join(hits.distinct(), "doc_id", "left_semi")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, term long, n long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_chars: int = MAX_CHARS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
-    known = common.stored(labelled(docs, labels), "labelled")
-    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    taught = common.stored(labelled(docs, labels), "labelled")
+    sizes = {r.toxic: r["count"] for r in taught.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     rate = sizes.get(1, 0) / total if total else 0.0
-    if len(sizes) < 2:
-        return Model([], np.zeros(0), None, np.zeros(0), np.zeros(0), rate, rate)
-    rows = _texts(docs, _drawn(known.where("toxic = 0"), max_each).union(_drawn(known.where("toxic = 1"), max_each)))
-    y = np.array([r.toxic for r in rows])
-    terms = choose_terms([r.text for r in rows], y, max_terms)
-    read = Reader(terms)
-    # class 0 rows that hold terms are few and tell the most: they are drawn anew, as a class of their own
-    hard = common.stored(_holding(docs, known.where("toxic = 0"), terms), "holding")
+    rows = _texts(docs, _drawn(taught.where("toxic = 0"), max_each).union(_drawn(taught.where("toxic = 1"), max_each)), max_chars) if len(sizes) > 1 else []
+    counts = [words(r.text) for r in rows]
+    y = np.array([r.toxic for r in rows], dtype=int)
+    if len(set(y.tolist())) < 2:
+        return Model({}, np.zeros(0), None, np.zeros(0), np.zeros(0), rate)
+    terms, gain = vocabulary(counts, y)
+    telling = set(np.flatnonzero(gain > TELLING).tolist())
+    # one pass of all documents: document frequencies, and which hold telling words
+    found = common.stored(_counted(docs, terms, telling), "counted")
+    frequency = np.zeros(len(terms) + 1)
+    for r in found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
+        frequency[r.term] = r.n
+    n, frequency = frequency[-1], frequency[:-1]
+    # class 0 rows that hold telling words are few and say the most: they are drawn anew, as a class of their own
+    hard = common.stored(taught.where("toxic = 0").join(found.where("term is null").select("doc_id").distinct(), "doc_id", "left_semi"), "hard")
     n_hard = hard.count()
-    counts = [read(r.text) for r in rows]
-    keep = [bool(r.toxic) or not c for r, c in zip(rows, counts, strict=True)]
-    rows = [r for r, k in zip(rows, keep, strict=True) if k] + _texts(docs, _drawn(hard, max_each))
-    counts = [c for c, k in zip(counts, keep, strict=True) if k]
-    group = np.array([r.toxic for r in rows])
-    group[len(counts) :] = 2
-    counts += [read(r.text) for r in rows[len(counts) :]]
+    keep = [bool(r.toxic) or telling.isdisjoint(known(c, terms)) for r, c in zip(rows, counts, strict=True)]
+    more = _texts(docs, _drawn(hard, max_each), max_chars)
+    rows = [r for r, k in zip(rows, keep, strict=True) if k]
+    counts = [c for c, k in zip(counts, keep, strict=True) if k] + [words(r.text) for r in more]
+    group = np.array([r.toxic for r in rows] + [2] * len(more))
     y = (group == 1).astype(int)
     whole = {0: sizes[0] - n_hard, 1: sizes[1], 2: n_hard}
-    n, frequency = document_frequencies(docs, terms)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
-    vectors = [weigh(c, idf) for c in counts]
-    ids = np.array([r.doc_id for r in rows], dtype=np.int64)
-    index = BlockMaxIndex(vectors, ids, max(1, len(terms)))
-    at = np.array([index.place[int(i)] for i in ids])
-    label, mass = np.zeros(len(ids)), np.zeros(len(ids))
-    label[at] = y
-    mass[at] = np.array([whole[k] / max(1, (group == k).sum()) for k in group.tolist()])
-    bare = np.array([not len(v[0]) for v in vectors])
-    m = mass[at]
-    blank = float(((m * y)[bare].sum() + rate) / (m[bare].sum() + 1))
-    model = Model(terms, idf, index, label, mass, rate, blank)
+    model = Model(terms, (np.log((1 + n) / (1 + frequency)) + 1) * gain, None, np.zeros(len(y)), np.zeros(len(y)), rate)
+    vectors = [model.weigh(c) for c in counts]
+    ids = np.array([r.doc_id for r in rows + more], dtype=np.int64)
+    model.index = BlockMaxIndex(vectors, ids, len(terms))
+    at = np.array([model.index.place[int(i)] for i in ids])
+    m = np.array([whole[k] / (group == k).sum() for k in group.tolist()])
+    model.label[at], model.mass[at] = y, m
     votes, keep = [], []
     for i, v in enumerate(vectors):
-        places, near = index.nearest(v, but=int(at[i]))
+        places, near = model.index.nearest(v, but=int(at[i]))
         if len(places):
             votes.append(model.vote(places, near))
             keep.append(i)
@@ -266,32 +273,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_terms:
     return model
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those that hold each term."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, n, hits = Reader(terms), 0, np.zeros(len(terms) + 1, dtype=np.int64)
-        for b in batches:
-            for t in b.column(0):
-                n += 1
-                if found := read(t.as_py()):
-                    hits[list(found)] += 1
-        hits[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hits)) % (len(terms) + 1)), pa.array(hits)], ["term", "n"])
-
-    # a row a term and task, summed; at most as many rows come back as there are terms
-    counts = common.map_arrow(docs.select(F.col("text").cast("string")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in counts:
-        out[r.term] = r.n
-    return int(out[-1]), out[:-1]
-
-
-def _scorer(model: Model):
-    read = Reader(model.terms)
-    return lambda text: model.score(read(text))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), a row for each row of docs (doc_id, text).
 
@@ -299,9 +280,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _scorer(model)
         for b in batches:
-            done = [one(t.as_py()) for t in b.column(2)]
+            done = [model.score(t.as_py()) for t in b.column(2)]
             p = np.array([x[0] for x in done], dtype=np.float64)
             why = [" ".join(f"{i}:{y}:{s:.4f}" for i, y, s in x[1][:3]) for x in done]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(why, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -315,8 +295,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _scorer(model)
         for b in batches:
-            yield b.filter(pa.array([one(t.as_py())[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([model.score(t.as_py())[0] < 0.5 for t in b.column(at)], pa.bool_()))
 
     return common.map_arrow(docs, run, docs.schema)
