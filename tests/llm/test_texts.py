@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -101,7 +102,15 @@ LONG = "A first sentence of the article which is long enough to count as content
     (page(f"<div class='layout has-sidebar'><div class='site-header'><p>{LONG} Site</p></div><div id=post><div class='entry-body'><p>{LONG}</p><p>{LONG}</p></div></div><div class='sponsored'>{LONG}</div></div>"), f"{LONG}\n\n{LONG}"),
     (page(f"<ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li><li><a href=/3>three</a></li></ul><p>{LONG}</p><p><a href=/4>a link</a></p><p>{LONG}</p>"), f"{LONG}\n\na link\n\n{LONG}"),
     (page(f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><div class='notice'>Read this notice please</div><p>tail</p></article><section id=reader-comments><p>{LONG}</p></section>"), f"Title\n\n{LONG}\n\ntail"),
-    (page(f"<div class=widget><p>{LONG}</p></div>"), ""),
+    (page(f"<div class=widget><p>{LONG}</p></div>"), LONG),
+    (page("<div class='share-widget'><p>Short article text.</p></div>"), "Short article text."),
+    (f"<html><head><title>T</title><body><p>{LONG}<p>end</body></html>", f"{LONG}\n\nend"),
+    (f"<html><head><meta charset=utf-8><title>T</title><p>{LONG}<p>end", f"{LONG}\n\nend"),
+    (f"<head><title>T</title>{LONG}", LONG),
+    (page(f"<article><p>{LONG}</p><ul><li><a href=/1>one</a><li><a href=/2>two</a><li><a href=/3>three</a></ul><p>{LONG}</p><ul><li><a href=/1>one</a><li><a href=/2>two</a><li><a href=/3>three</a></ul></article>"), f"{LONG}\n\none\n\ntwo\n\nthree\n\n{LONG}\n\none\n\ntwo\n\nthree"),
+    (page(f"<p>{LONG}</p><ul><li><a href=/1>one</a><li><a href=/2>two</a><li><a href=/3>three</a></ul><p>{LONG}</p>"), f"{LONG}\n\none\n\ntwo\n\nthree\n\n{LONG}"),
+    (page(f"<article><p>{LONG} As <math><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation>x lt 2</annotation></math> holds.</p></article>"), f"{LONG} As x<2 holds."),
+    (page(f"<div class=widget>{f'<p>{LONG}</p>' * 8}</div><p>tail</p><div class='comments'><p>{LONG}</p></div>"), "\n\n".join([LONG] * 8 + ["tail", LONG])),
     (page("<div class=widget>" + f"<p>{LONG}</p>" * 8 + "</div>"), "\n\n".join([LONG] * 8)),
     (page(f"<article><p>{LONG}</p><article class='comment'><p>{LONG} no</p></article><p>last</p></article>"), f"{LONG}\n\nlast"),
 ])
@@ -122,6 +131,28 @@ def test_extract_keeps_all_sections(html, want):
     assert html_extract.extract(html) == "\n\n".join(want)
 
 
+def unnamed(n):
+    """A page without an element or name that tells what is what: menu, article with short lines, small print; and the article."""
+    rng = np.random.default_rng(n)
+    article = ["The title"] + [x for k in range(3 + n % 5) for x in (LONG * int(rng.integers(2, 6)), "Short." if k % 2 else LONG)]
+    menu = "".join(f"<div><a href=/{i}>item {i}</a></div>" for i in range(4 + n % 3))
+    small = "".join(f"<div><span>(c)</span> <b>x</b> <i>{i}</i></div>" for i in range(4))
+    return f"<body><div>{menu}</div><div><h1>{article[0]}</h1>{''.join(f'<p>{x}</p>' for x in article[1:])}</div><div>{small}</div></body>", "\n\n".join(article)
+
+
+def test_cluster_selects_the_article(monkeypatch):
+    pages = [unnamed(n) for n in range(20)]
+    assert all(html_extract.extract(h) == want for h, want in pages)
+    monkeypatch.setattr(html_extract, "cluster", lambda lines: np.array([bool(x.text) for x in lines]))
+    assert not any(html_extract.extract(h) == want for h, want in pages)
+
+
+def test_names_only_weigh(monkeypatch):
+    body = f"<div class=promo><p>{LONG}</p><p>{LONG}</p></div><div class=ad>buy</div>"
+    assert html_extract.extract(page(f"{body}<p>{LONG}</p>")) == LONG
+    assert html_extract.extract(page(f"{body}<p>(c)</p>")).startswith(f"{LONG}\n\n{LONG}")
+
+
 def test_smoothing_keeps_constants():
     assert html_extract.smooth(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
 
@@ -222,6 +253,63 @@ def test_toxicity(spark):
     assert toxicity.fit(d.where("false"), y.where("false")).rate == 0
 
 
+def brute_scores(docs, labels):
+    """The same scores by dense vectors and all similarities, from the examples that a fit without bounds takes."""
+    counts = {i: toxicity.words(t) for i, t in docs.items()}
+    ids = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 5)
+    y = np.array([labels[i] for i in ids])
+    terms, gain = toxicity.vocabulary([counts[i] for i in ids], y)
+    dense = {}
+    held = np.zeros(len(terms))
+    for i, c in counts.items():
+        v = np.zeros(len(terms))
+        for t, n in toxicity.known(c, terms).items():
+            v[t] = n
+        held += v > 0
+        dense[i] = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0)
+    scale = (np.log((1 + len(docs)) / (1 + held)) + 1) * gain
+    unit = {i: v * scale / max(1e-300, np.sqrt(((v * scale) ** 2).sum())) for i, v in dense.items()}
+    telling = gain > toxicity.TELLING
+    kind = np.array([1 if labels[i] else 2 if (dense[i][telling] > 0).any() else 0 for i in ids])
+    rate = y.mean()
+
+    def vote(q, but=None):
+        s = sorted((-round(float(unit[i] @ q), 12), i, labels[i]) for i in ids if i != but and unit[i] @ q > 0)[: toxicity.K]
+        w = np.array([1 / (1.05 - min(-x, 1.0)) ** 2 for x, _, _ in s])
+        return ((w * [k for _, _, k in s]).sum() + rate) / (w.sum() + 1) if s else None
+
+    votes = [(vote(unit[i], i), labels[i]) for i in ids]
+    votes = [v for v in votes if v[0] is not None]
+    assert kind.any()  # every example is drawn, so each weighs 1
+    knots = toxicity.isotonic(np.array([v for v, _ in votes]), np.array([float(k) for _, k in votes]), np.ones(len(votes)))
+    out = {}
+    for i, q in unit.items():
+        v = vote(q)
+        out[i] = rate if v is None else min(max(float(np.interp(v, *knots)), 0.001), 0.999)
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    plain = [a + b for a in "ba co di fu ge lo mi".split() for b in "nar tel sim rop vu x".split()]
+    docs, labels = {}, {}
+    for i in range(400):
+        w = rng.choice(plain, rng.integers(4, 60)).tolist()
+        labels[i] = int(rng.random() < 0.25)
+        if labels[i] or i % 90 == 0:  # words of two and three letters tell too
+            w[1 : 1 + i % 3 + 1] = rng.choice(["zu", "kix", "vexatious"], i % 3 + 1).tolist()
+        docs[i] = " ".join(w)
+    docs[5], docs[6], docs[7] = "", "12 34", "Vexatiously, plainly unknown"
+    labels = {i: y for i, y in labels.items() if i not in (5, 6, 7) and i % 4}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    y = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, y)).collect()}
+    want = brute_scores(docs, labels)
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want)
+    assert got[7].predicted == 1 and got[5].score == got[6].score
+    assert all(r.evidence for i, r in got.items() if i not in (5, 6))
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(4)
     vs = []
