@@ -47,7 +47,10 @@ def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 bits; bit i is set if it is set in over half of the shingles' XXH64 values."""
-    h = hashes(text, shingle)
+    return majority(hashes(text, shingle))
+
+
+def majority(h: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -55,14 +58,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, th, fp): fp is the fingerprint as a signed long; th, a hash of the text, tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, fp long")
 
 
 class Forest:
@@ -206,33 +209,41 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame
     return common.map_arrow(dealt, run, "a long, b long", 20_000)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each row of docs (doc_id, text)."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, th, fp, class, component_id), a row for each row of docs (doc_id, text)."""
     own = common.stored(fingerprints(docs, shingle), "fingerprints")
     # copies fall together before anything is compared
     fps = common.stored(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = common.components(common.stored(links(fps, radius, limit), "links"))
     joined = common.stored(roots.join(fps, roots.v == fps.fp).select("fp", "root", "rep"), "joined")
     least = joined.groupBy("root").agg(F.min("rep").alias("least"))
-    moved = joined.join(least, "root").select("fp", "least")
-    classes = fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    moved = joined.join(least, "root").select("fp", "root", "least")
+    of = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("class"), F.coalesce("least", "rep").alias("component_id"))
+    return own.join(of, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for each row of docs (doc_id, text)."""
+    return classes(docs, shingle, radius, limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """One row of docs for each class of near copies: its smallest doc_id's, with all columns.
 
+    Rows that share a doc_id are told apart by their texts: each belongs to its own text's class. Of a class's rows
+    of the smallest id, the one with the least hash of the text stays; of rows equal in id and text, any one.
     Rows of null doc_id have no class id to be told apart by and all stay.
     """
-    return first_of(docs, near_duplicates(docs, shingle, radius, limit))
+    return first_of(docs, classes(docs, shingle, radius, limit))
 
 
-def first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the component_id of their class (doc_id, component_id), and those without an id."""
-    first = common.stored(classes.where("doc_id = component_id").select("doc_id"), "first")
-    n, distinct = first.agg(F.count("*"), F.count_distinct("doc_id")).first()
+def first_of(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their class (of: doc_id, th, class, component_id), and those without an id."""
+    first = of.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("th").alias("__t"), F.count("*").alias("n"))
+    first = common.stored(first.select(F.col("doc_id").alias("__id"), "__t", "n"), "first")
     # the ids grow with the corpus: always a shuffle join, never a broadcast
-    kept = docs.join(first.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if n > distinct:  # whole repeats of an id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    hashed = docs.withColumn("__th", F.xxhash64("text"))
+    kept = hashed.join(first.hint("merge"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left_semi")
+    if first.where("n > 1").limit(1).count():  # repeats of an id
+        kept = kept.dropDuplicates(["doc_id", "__th"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
