@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,9 +26,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as a full URI; where it is unset (as in tests may be), a folder of our own that goes at exit."""
+    """spark.checkpoint.dir as a full URI; in local mode, where it may be unset, a folder of our own that goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             path = tempfile.mkdtemp(prefix="heddle-")
