@@ -1,4 +1,9 @@
-"""Typed settings, from defaults or YAML; unknown keys are refused."""
+"""Typed settings, from defaults or YAML; unknown keys are refused.
+
+Settings of what lies outside this engine are taken, so that published files load, and read by nothing here:
+dataset.kaggle_slug (downloads) and paths.figures_dir (plots). The two *_per_component settings of the cycle
+search bound nothing: results are whole, and components beyond them are reported in the log.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from typing import Any
 @dataclass(frozen=True)
 class Dataset:
     name: str = "HI-Small"
+    kaggle_slug: str = ""
 
     @property
     def transactions_file(self) -> str:
@@ -26,6 +32,7 @@ class Paths:
     raw_dir: str = "data/raw"
     processed_dir: str = "data/processed"
     models_dir: str = "models"
+    figures_dir: str = "reports/figures"
     tables_dir: str = "reports/tables"
 
 
@@ -62,6 +69,7 @@ class Anomaly:
     small_cluster_size: int = 200
     pca_components: int = 10
     lof_neighbors: int = 20
+    contamination: float = 0.01
     iforest_estimators: int = 200
     precision_at_k: tuple[int, ...] = (100, 500, 1000)
 
@@ -72,6 +80,7 @@ class Supervised:
     val_frac: float = 0.2
     lookback_days: tuple[int, ...] = (1, 7, 30)
     pos_weight_power: float = 0.25
+    era_cut: str = "2022-09-11"
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,11 @@ def node_id(bank: Column, account: Column) -> Column:
     return F.concat(bank, F.lit("_"), account)
 
 
+def bank_of(account: Column) -> Column:
+    """The bank's part of an account's node id; all of an id without one."""
+    return F.substring_index(account, "_", 1)
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions.columns import DAY
+from heddle.session import stored
 
 
 def running_totals(marks: DataFrame, key: str, at: str, values: list[str], keep: Column, bin_width: int = DAY) -> DataFrame:
@@ -32,14 +33,16 @@ def running_totals(marks: DataFrame, key: str, at: str, values: list[str], keep:
 
 
 def binned(df: DataFrame, by: Column, per_bin: int = 250_000) -> DataFrame:
-    """Adds __bin: ranges of by in ascending order, of some per_bin rows each; equal values share a bin, nulls are in bin 0."""
+    """Adds __bin: ranges of by in ascending order, of some per_bin rows each; equal values share a bin, nulls come first.
+
+    The ranges are those of a range partitioning, which are drawn from a sample: the table is written, so that
+    all that reads it sees the same.
+    """
     rows = df.count()
     bins = max(1, math.ceil(rows / per_bin))
     if bins == 1:
         return df.withColumn("__bin", F.lit(0))
-    cuts = df.select(F.percentile_approx(by.cast("double"), [i / bins for i in range(1, bins)], 20 * bins)).first()[0]
-    # a few cuts for each gigabyte; their count is rows / per_bin
-    return df.withColumn("__bin", F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < by.cast("double"))))
+    return stored(df.repartitionByRange(bins, by).withColumn("__bin", F.spark_partition_id()), "binned")
 
 
 def global_sums(df: DataFrame, by: str, values: list[str], descending: bool = True) -> DataFrame:
@@ -66,10 +69,8 @@ def mean_ranks(df: DataFrame, by: str, out: str) -> DataFrame:
 
 
 def positions(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Adds out: the 0-based position of each row in ascending order of the first column (a number or time), ties by the others."""
-    first = F.col(order[0])
-    by = F.unix_micros(first) if dict(df.dtypes)[order[0]].startswith("timestamp") else first
-    b = binned(df, by)
+    """Adds out: the 0-based position of each row in ascending order of the columns."""
+    b = binned(df, F.col(order[0]))
     within = Window.partitionBy("__bin").orderBy(*order)
     starts = b.groupBy("__bin").agg(F.count("*").alias("__n"))
     starts = starts.select(F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"))
@@ -80,7 +81,8 @@ def positions(df: DataFrame, order: list[str], out: str) -> DataFrame:
 def numbered(df: DataFrame, out: str) -> DataFrame:
     """Adds out: the 0-based position of each row in the order of its file, without sorting.
 
-    df must be a plain read: its partitions are counted in one pass and numbered in another.
+    df must be a plain read of one file: its partitions are counted in one pass and numbered in another. Of several
+    files each is numbered through, but Spark reads them by size, not by name.
     """
     ids = df.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.arrays import matrix
 from heddle.session import shipped
 
 #: A leaf: its weighted value, and for each feature on its path (index, tests, share of training rows that stay).
@@ -88,7 +89,7 @@ def attributions(model: PipelineModel, df: DataFrame, key: str = "txn_id") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            x = matrix(b.column(1))
             s = shapley(parts, x) if len(x) else x
             n = len(names)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(names * len(x), pa.string()), pa.array(x.ravel()), pa.array(s.ravel())], [key, "feature", "value", "shap"])

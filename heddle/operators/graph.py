@@ -5,12 +5,17 @@ The transactions are the multigraph; pairs() collapses them. Nothing here collec
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heddle.functions import scans
 from heddle.functions.columns import legs
-from heddle.session import stored
+from heddle.session import shipped, stored
 
 
 def pairs(t: DataFrame, drop_self_loops: bool = False) -> DataFrame:
@@ -33,18 +38,96 @@ def degrees(e: DataFrame) -> DataFrame:
     return both.groupBy("x.node").agg(F.sum("x.o").alias("deg_out"), F.sum("x.i").alias("deg_in"))
 
 
+#: Edges that one task takes.
+FEW = 1_000_000
+
+
 def _same(a: DataFrame, columns: list[str], last: tuple | None) -> tuple[tuple, bool]:
     now = tuple(a.select(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
     return now, now == last
 
 
-def weakly_connected(e: DataFrame, rounds: int = 100) -> DataFrame:
+def _in_one_task(e: DataFrame, find: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(node, component) of the nodes of e (a, b), at most FEW edges, by a function of the numbers of nodes and the edges' ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), pa.schema([("a", pa.string()), ("b", pa.string())]))
+        both = pa.chunked_array(t.column("a").chunks + t.column("b").chunks, pa.string())
+        names, at = np.unique(both.to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+        label = find(len(names), at[: t.num_rows], at[t.num_rows :])
+        for lo in range(0, len(names), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 50_000], pa.string()), pa.array(names[label[lo : lo + 50_000]], pa.string())], ["node", "component"])
+
+    return stored(shipped(e.select("a", "b").coalesce(1)).mapInArrow(run, "node string, component string"), "labelled")
+
+
+def _least_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each is connected with."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, label[a], label[b])
+        np.minimum.at(low, label[b], label[a])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _least_strongly_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each one's strongly connected component: two passes, along the edges and back."""
+
+    def ways(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
+        order = np.argsort(u, kind="stable")
+        return v[order].tolist(), np.searchsorted(u[order], np.arange(n + 1)).tolist()
+
+    to, start = ways(a, b)
+    at, seen, ended = start[:n], bytearray(n), []
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root] = 1
+        stack = [root]
+        while stack:
+            v = stack[-1]
+            if at[v] < start[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    seen[w] = 1
+                    stack.append(w)
+            else:
+                ended.append(stack.pop())
+    to, start = ways(b, a)
+    label = np.full(n, -1)
+    for root in reversed(ended):
+        if label[root] >= 0:
+            continue
+        label[root] = root
+        members, stack = [root], [root]
+        while stack:
+            v = stack.pop()
+            for w in to[start[v] : start[v + 1]]:
+                if label[w] < 0:
+                    label[w] = root
+                    members.append(w)
+                    stack.append(w)
+        label[members] = min(members)
+    return label
+
+
+def weakly_connected(e: DataFrame, rounds: int = 100, few: int = FEW) -> DataFrame:
     """(node, component, size): the component is named by its smallest node. Isolated nodes come in as self-loops.
 
-    Large stars and small stars in turn; a round halves a chain, so rounds are logarithmic.
+    Large stars and small stars in turn; a round halves a chain, so rounds are logarithmic. Up to `few` edges
+    one task does the same at once.
     """
     every = stored(nodes(e), "nodes")
     cur = stored(e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "star")
+    if cur.count() <= few:
+        done = _in_one_task(cur.toDF("a", "b"), _least_connected)
+        return _sized(every.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     last = None
     for _ in range(rounds):
         both = cur.union(cur.select("v", "u"))
@@ -81,17 +164,22 @@ def _spread(labels: DataFrame, e: DataFrame, rounds: int, hops: int = 3) -> Data
     raise RuntimeError("labels did not settle")
 
 
-def strongly_connected(e: DataFrame, rounds: int = 1000) -> DataFrame:
+def strongly_connected(e: DataFrame, rounds: int = 1000, few: int = FEW) -> DataFrame:
     """(node, component, size), named by the smallest node.
 
     Nodes without a way in or out are set aside; the others take the smallest label that reaches them, and
     those that a label's own node is reached back from, within the label, form its component. Repeat with the rest.
+    Once no more than `few` edges are left, one task finishes with the same result.
     """
     every = stored(nodes(e), "nodes")
     rest = stored(e.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "edges")
     found: DataFrame | None = None
     for _ in range(rounds):
         n = rest.count()
+        if n <= few:
+            last = _in_one_task(rest, _least_strongly_connected).select("node", F.col("component").alias("label"))
+            found = last if found is None else found.union(last)
+            break
         while True:  # trim
             rest = stored(rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "trimmed")
             left = rest.count()
@@ -200,21 +288,21 @@ def ego(t: DataFrame, account: str, k: int = 2, start: Column | str | None = Non
         d = d.where(F.col("timestamp") >= (F.lit(start).cast("timestamp") if isinstance(start, str) else start))
     if end is not None:
         d = d.where(F.col("timestamp") <= (F.lit(end).cast("timestamp") if isinstance(end, str) else end))
-    both = legs(d, "amt_usd")
-    members = [] if both.where(F.col("acc") == account).limit(1).isEmpty() else [(account, 0)]
-    edge_nodes = [account] if members else []
+    members, frontier = [(account, 0)], [account]
     for hop in range(1, k + 1):
         room = max_nodes - len(members)
-        if room <= 0 or not edge_nodes:
+        if room <= 0 or not frontier:
             break
-        frontier = F.broadcast(spark.createDataFrame([(x,) for x in edge_nodes], "acc string"))  # at most max_nodes rows
-        seen = F.broadcast(spark.createDataFrame([(x,) for x, _ in members], "other string"))
-        new = both.join(frontier, "acc", "left_semi").groupBy("other").agg(F.max("amt_usd").alias("best")).join(seen, "other", "left_anti")
-        edge_nodes = [r.other for r in new.orderBy(F.desc("best"), "other").limit(room).collect()]
-        members += [(x, hop) for x in edge_nodes]
+        # the frontier, at most max_nodes accounts, goes into the scan's filter
+        near = legs(d.where(F.col("src").isin(frontier) | F.col("dst").isin(frontier)), "amt_usd").where(F.col("acc").isin(frontier))
+        new = near.where(~F.col("other").isin([x for x, _ in members])).groupBy("other").agg(F.max("amt_usd").alias("best"))
+        frontier = [r.other for r in new.orderBy(F.desc("best"), "other").limit(room).collect()]
+        members += [(x, hop) for x in frontier]
+    if len(members) == 1 and d.where((F.col("src") == account) | (F.col("dst") == account)).limit(1).isEmpty():
+        members = []
+    inside = [x for x, _ in members]
     n = spark.createDataFrame(members, "node string, hop int").withColumn("is_centre", F.col("node") == account)
-    inside = F.broadcast(n.select("node"))
-    edges = d.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    edges = d.where(F.col("src").isin(inside) & F.col("dst").isin(inside))
     return n, edges.orderBy(F.desc("amt_usd"), "txn_id").limit(max_edges)
 
 
@@ -236,6 +324,26 @@ def component_summary(labels: DataFrame) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.max("size").alias("largest"), F.count_if(big).alias("nontrivial"), F.coalesce(F.sum(F.when(big, F.col("size"))), F.lit(0)).alias("nodes_in_nontrivial"))
 
 
+def scc_share(t: DataFrame, labels: DataFrame) -> DataFrame:
+    """(kind, transactions, in_nontrivial_scc, share_pct) of all and of laundering transactions between accounts: how many run
+    within a strongly connected component of two nodes or more. labels: (node, component, size), of strongly_connected."""
+    big = labels.where("size > 1")
+    a, b = (big.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in ("src", "dst"))
+    p = pairs(t, drop_self_loops=True).join(a, "src", "left").join(b, "dst", "left")
+    inside = F.coalesce(F.col("c_src") == F.col("c_dst"), F.lit(False))
+    rows = p.select(inside.alias("inside"), F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.col("n_txns").alias("n")), F.struct(F.lit("laundering").alias("kind"), F.col("n_illicit").alias("n")))).alias("x"))
+    g = rows.groupBy("x.kind").agg(F.sum("x.n").alias("transactions"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("x.n"))), F.lit(0)).alias("in_nontrivial_scc"))
+    return g.withColumn("share_pct", 100 * F.try_divide("in_nontrivial_scc", "transactions"))
+
+
+def numbered_pairs(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, ix) of all accounts, numbered from 0 in their order, and the pairs as (s, d, n, ill) of such numbers."""
+    p = pairs(t, drop_self_loops=True)
+    ids = stored(scans.positions(nodes(p), ["node"], "ix"), "numbered")
+    s, d = (ids.select(F.col("node").alias(k), F.col("ix").alias(n)) for k, n in (("src", "s"), ("dst", "d")))
+    return ids, p.join(s, "src").join(d, "dst").select("s", "d", F.col("n_txns").alias("n"), F.col("n_illicit").alias("ill"))
+
+
 def illicit_context(t: DataFrame) -> DataFrame:
     """Counts of accounts with a laundering transaction, of accounts one hop off, and of the pairs around them."""
     d = t.where("src <> dst")

@@ -46,8 +46,11 @@ DETECTOR_TEXT = {
 
 
 def score_transactions(t: DataFrame, margins: DataFrame, split: DataFrame, threshold: float, weight: float = 1.0) -> DataFrame:
-    """Transactions with margin, flagged, prob (the class weight taken off the log-odds), score (rank share) and split."""
-    s = margins.withColumns({"flagged": F.col("margin") >= threshold, "prob": 1 / (1 + F.exp(-(F.col("margin") - math.log(weight))))})
+    """Transactions with margin, flagged, prob, score (rank share) and split.
+
+    A margin is half the log-odds; prob has the class weight of the training taken off them.
+    """
+    s = margins.withColumns({"flagged": F.col("margin") >= threshold, "prob": 1 / (1 + F.exp(math.log(weight) - 2 * F.col("margin")))})
     s = scans.mean_ranks(s, "margin", "score").join(split.select("txn_id", "split"), "txn_id", "left")
     cols = ["txn_id", "timestamp", "src", "dst", "amt_usd", "payment_format", "pay_ccy", "recv_ccy", "is_laundering"]
     return t.select(*cols).join(s, "txn_id").select(*cols, "score", "prob", "margin", "flagged", "split")

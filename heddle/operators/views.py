@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.columns import flows, legs
 from heddle.operators import graph
 
 
+def filtered_view(t: DataFrame, name: str, condition: str = "true") -> DataFrame:
+    """Registers the rows of t that hold the condition as a view for SQL, and gives them back."""
+    d = t.where(condition)
+    d.createOrReplaceTempView(name)
+    return d
+
+
+def bound(spark: SparkSession, text: str, **values: object) -> DataFrame:
+    """SQL with its :names bound to values, which are never read as SQL."""
+    return spark.sql(text, args=values)
+
+
+def most_common(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
+    """(column, n): the value with the most rows, or the fewest; ties by value."""
+    g = df.groupBy(column).agg(F.count("*").alias("n"))
+    return g.orderBy(F.desc("n") if descending else F.asc("n"), column).limit(1)
+
+
 def account_transactions(t: DataFrame, account: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """An account's transactions, no self-loops, times inclusive, with direction and counterparty, by time."""
     d = flows(t).where((F.col("src") == account) | (F.col("dst") == account))

@@ -7,7 +7,6 @@ already needs a new ROOT, as tables are never rewritten in place.
 from __future__ import annotations
 
 import argparse
-import json
 import logging
 from pathlib import Path
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle import config, session
+from heddle.functions import scans
 from heddle.operators import anomaly, clusters, detectors, evaluation, features, fx, scoring, supervised
 from heddle.sources import attempts, transactions
 
@@ -69,7 +69,9 @@ def anomaly_scores(feats: DataFrame, cfg: config.Anomaly, seed: int, key: str =
     p = session.stored(anomaly.principal_components(z, key, names, cfg.pca_components), "components")
     s = anomaly.isolation_forest(z, key, names, cfg.iforest_estimators, seed)
     s = s.join(anomaly.local_outlier_factor(p, key, cfg.lof_neighbors), key).join(clusters.hdbscan(p, key, cfg.min_cluster_size, cfg.small_cluster_size), key)
-    return anomaly.mean_rank(session.stored(s, "scores"), ["iforest", "lof", "hdbscan"])
+    ranked = session.stored(anomaly.mean_rank(session.stored(s, "scores"), ["iforest", "lof", "hdbscan"]), "ensemble")
+    # the given share of accounts, by the ensemble, are flagged
+    return scans.mean_ranks(ranked, "ensemble", "__at").withColumn("flagged", F.col("__at") > 1 - cfg.contamination).drop("__at")
 
 
 def detect(t: Tables) -> None:
@@ -82,25 +84,27 @@ def detect(t: Tables) -> None:
     t.report(evaluation.cycle_recall_by_hops(found, listed, thr), "detector_cycle_recall_by_hops")
     full = t.write(features.detector_counts(t.read("account_features"), found), "account_features_full")
     scores = t.write(anomaly_scores(full, t.cfg.anomaly, t.cfg.seed), "anomaly_scores")
-    t.report(evaluation.anomaly_table(scores, evaluation.account_labels(txns), ["iforest", "lof", "hdbscan", "ensemble"], t.cfg.anomaly.precision_at_k, seed=t.cfg.seed), "anomaly_results")
+    t.report(evaluation.anomaly_table(scores, evaluation.account_labels(txns), ["iforest", "lof", "hdbscan", "ensemble"], t.cfg.anomaly.precision_at_k, seed=t.cfg.seed, flag="hdbscan_flag"), "anomaly_results")
 
 
 def train(t: Tables) -> None:
     cfg = t.cfg.supervised
     split = t.write(supervised.temporal_split(t.read("txn_features"), cfg.train_frac, cfg.val_frac), "txn_features_split")
-    model = supervised.fit(split, cfg, seed=t.cfg.seed)
-    supervised.save(model, f"{t.root}/{t.cfg.paths.models_dir}/gbt")
+    weight = supervised.class_weight(split, cfg)
+    model = supervised.fit(split, cfg, seed=t.cfg.seed, weight=weight)
     margins = t.write(supervised.margins(model, split), "margins")
-    scored = margins.join(split.select("txn_id", "split", F.col("is_laundering").alias("y")), "txn_id").withColumnRenamed("margin", "score")
+    scored = margins.join(split.select("txn_id", "timestamp", "split", F.col("is_laundering").alias("y")), "txn_id").withColumnRenamed("margin", "score")
     threshold = evaluation.best_f1(scored.where("split = 'val'")).first().threshold
+    supervised.save(model, f"{t.root}/{t.cfg.paths.models_dir}/gbt", supervised.described(model, split, threshold, weight))
     ks = t.cfg.anomaly.precision_at_k
     rows = [(part, k, float(v)) for part in ("val", "test") for k, v in evaluation.metrics_at(scored.where(F.col("split") == part), threshold, ks).items()]
+    eras = evaluation.by_era(scored.where("split = 'test'"), cfg.era_cut, threshold, ks)
+    rows += [(f"test_{era}", k, float(v)) for era, found in eras.items() for k, v in found.items()]
     t.report(t.spark.createDataFrame(rows, "part string, metric string, value double"), "supervised_metrics")
     t.report(t.spark.createDataFrame(supervised.importances(model), "feature string, gain double"), "supervised_feature_importance")
     t.report(evaluation.recall_by_typology(scored.where("split = 'test'").withColumnRenamed("score", "p"), t.read("patterns"), threshold), "supervised_recall_by_typology")
-    tx = t.write(scoring.score_transactions(t.read("transactions"), margins, split.select("txn_id", "split"), threshold), "transaction_scores")
+    tx = t.write(scoring.score_transactions(t.read("transactions"), margins, split.select("txn_id", "split"), threshold, weight), "transaction_scores")
     t.write(scoring.account_scores(t.read("account_features_full"), t.read("anomaly_scores"), tx), "account_scores")
-    log.info("threshold %s", json.dumps(threshold))
 
 
 STEPS = {"data": data, "features": build_features, "detect": detect, "train": train}

@@ -26,10 +26,6 @@ f AS (SELECT * FROM t WHERE src <> dst),
 legs AS (SELECT src AS acc, dst AS other, 'out' AS role, * FROM f UNION ALL SELECT dst, src, 'in', * FROM f)
 """
 
-#: A sparser graph, of the larger purchases, which has several strongly connected components.
-SPARSE = "payment_format = 'purchase' AND amt_paid >= 100"
-
-
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = e.agg(F.max("user_id") + 1).first()[0]

@@ -6,16 +6,18 @@ Doubles are rounded alike on both sides; arrays are joined into strings.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle import session
 from heddle.config import Detectors
 from heddle.functions import columns as C
 from heddle.functions import scans
 from heddle.operators import anomaly, attribution, clusters, detectors, evaluation, features, fx, graph, profile, scoring, supervised, views
-from heddle.plans.adapter import CURRENCIES, SPARSE, T_SQL, USD, transactions
-from heddle.plans.registry import query
+from heddle.plans.adapter import CURRENCIES, T_SQL, USD, transactions
+from heddle.plans.registry import ORACLE, query
 from heddle.sources import transactions as source
 
 FAN = Detectors(fan_percentile=90.0)
@@ -100,7 +102,14 @@ def fx_pair_medians(spark: SparkSession, d: str) -> DataFrame:
     return fx.pair_medians(transactions(spark, d), 10.0).select("pay_ccy", "recv_ccy", "n", _r("rate", 8))
 
 
-@query("fx_chain")
+_CHAIN = """, p AS (SELECT pay_ccy, recv_ccy, count(*) AS n, median(amt_received / amt_paid) AS rate FROM t WHERE pay_ccy <> recv_ccy AND amt_paid >= 10 GROUP BY 1, 2),
+    ed AS (SELECT pay_ccy AS a, recv_ccy AS b, n, rate FROM p UNION ALL SELECT recv_ccy, pay_ccy, n, 1 / rate FROM p),
+    h1 AS (SELECT b, 1 / rate AS usd, n, row_number() OVER (ORDER BY n DESC, b) AS q FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, rate) AS r FROM ed WHERE a = 'US Dollar') WHERE r = 1),
+    h2 AS (SELECT ed.b, h1.usd / ed.rate AS usd, ed.a AS via, ed.n, row_number() OVER (PARTITION BY ed.b ORDER BY h1.q, ed.n DESC, ed.rate) AS r FROM ed JOIN h1 ON ed.a = h1.b WHERE ed.b <> 'US Dollar' AND ed.b NOT IN (SELECT b FROM h1))
+    SELECT 'US Dollar' AS currency, 1.0::DOUBLE AS usd_per_unit, 'US Dollar' AS via, 0::BIGINT AS n_obs, 0::INT AS hops UNION ALL SELECT b, round(usd, 8), 'US Dollar', n, 1::INT FROM h1 UNION ALL SELECT b, round(usd, 8), via, n, 2::INT FROM h2 WHERE r = 1"""
+
+
+@query("fx_chain", sql(_CHAIN))
 def fx_chain(spark: SparkSession, d: str) -> DataFrame:
     return fx.chain(fx.pair_medians(transactions(spark, d), 10.0)).select("currency", _r("usd_per_unit", 8), "via", "n_obs", "hops")
 
@@ -253,16 +262,39 @@ def _cycle_sql(hops: int) -> str:
     return sql(" UNION ALL ".join(parts))
 
 
-def _cycles(hops: int, oracle: bool) -> None:
-    @query(f"cycles_{hops}", _cycle_sql(hops) if oracle else None)
+def _cycles(hops: int) -> None:
+    @query(f"cycles_{hops}", _cycle_sql(hops))
     def run(spark: SparkSession, d: str) -> DataFrame:
         f = detectors.temporal_cycles(transactions(spark, d), Detectors(cycle_length_bound=hops))
         return f.select(_joined("account_ids"), _joined("txn_ids"), "start_ts", "end_ts", _r("total_usd"), _r("score", 6))
 
 
-_cycles(3, True)
-_cycles(4, True)
-_cycles(6, False)
+_cycles(3)
+_cycles(4)
+_cycles(6)
+
+
+# ---------------------------------------------------------------- all detectors, and their findings against listed attempts
+_ALL = Detectors(fan_percentile=90.0, scatter_gather_min_paths=8, cycle_length_bound=4)
+
+
+def _sub(text: str) -> str:
+    """A query's SQL without the shared tables before it, as a subquery."""
+    return text[len(T_SQL) :]
+
+
+def _all_sql() -> str:
+    """f_<detector> (score, usd, ids) of each detector, as common table expressions."""
+    out = T_SQL
+    for name, text in (("temporal_cycle", _cycle_sql(4)), ("fan_out", _fan_sql("out")), ("fan_in", _fan_sql("in")), ("scatter_gather", ORACLE["scatter_gather"]), ("gather_scatter", ORACLE["gather_scatter"]), ("pass_through", ORACLE["pass_through"])):
+        out += f", f_{name} AS (WITH one AS (SELECT 1) {_sub(text)})" if _sub(text).lstrip().startswith(",") else f", f_{name} AS ({_sub(text)})"
+    return out
+
+
+@query("detector_findings", _all_sql() + " " + " UNION ALL ".join(f"SELECT '{n}' AS detector, count(*) AS n, round(avg(score), 6) AS score, round(sum(total_usd), 4) AS usd FROM f_{n} HAVING count(*) > 0" for n in ("temporal_cycle", "fan_out", "fan_in", "scatter_gather", "gather_scatter", "pass_through")))
+def detector_findings(spark: SparkSession, d: str) -> DataFrame:
+    found = detectors.run_all(transactions(spark, d), _ALL)
+    return found.groupBy("detector").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"), F.round(F.sum("total_usd"), 4).alias("usd"))
 
 
 # ---------------------------------------------------------------- transaction features
@@ -310,39 +342,67 @@ def degree_histogram(spark: SparkSession, d: str) -> DataFrame:
     return graph.degree_histogram(transactions(spark, d))
 
 
-_REACH = f""", g AS (SELECT DISTINCT src, dst FROM f WHERE {SPARSE}), v AS (SELECT src AS node FROM g UNION SELECT dst FROM g)"""
+_REACH = T_SQL.replace("WITH e", "WITH RECURSIVE e", 1) + ", g AS (SELECT DISTINCT src, dst FROM f), v AS (SELECT src AS node FROM g UNION SELECT dst FROM g)"
+_SCC = _REACH + ", r AS (SELECT node AS a, node AS b FROM v UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b), c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1), k AS (SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c)"
 
 
-@query("scc", T_SQL.replace("WITH e", "WITH RECURSIVE e", 1) + _REACH + ", r AS (SELECT node AS a, node AS b FROM v UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b), c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c")
+def _components(t: DataFrame) -> DataFrame:
+    return graph.strongly_connected(C.flows(t).select("src", "dst"))
+
+
+@query("scc", _SCC + " SELECT * FROM k")
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strongly_connected(C.flows(transactions(spark, d)).where(SPARSE).select("src", "dst"))
+    return _components(transactions(spark, d))
 
 
-@query("wcc", T_SQL.replace("WITH e", "WITH RECURSIVE e", 1) + _REACH + ", u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r AS (SELECT node AS a, node AS b FROM v UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY 1) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c")
+@query("wcc", _REACH + ", u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r AS (SELECT node AS a, node AS b FROM v UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY 1) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c")
 def wcc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.weakly_connected(C.flows(transactions(spark, d)).where(SPARSE).select("src", "dst"))
+    return graph.weakly_connected(C.flows(transactions(spark, d)).select("src", "dst"))
 
 
-@query("component_summary")
+@query("component_summary", _SCC + " SELECT count(DISTINCT component) AS n, max(size) AS largest, count(DISTINCT component) FILTER (WHERE size > 1) AS nontrivial, count(*) FILTER (WHERE size > 1) AS nodes_in_nontrivial FROM k")
 def component_summary(spark: SparkSession, d: str) -> DataFrame:
-    return graph.component_summary(graph.strongly_connected(C.flows(transactions(spark, d)).where(SPARSE).select("src", "dst")))
+    return graph.component_summary(_components(transactions(spark, d)))
+
+
+@query("component_sizes", _SCC + " SELECT size, count(DISTINCT component) AS n FROM k GROUP BY 1")
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.component_sizes(_components(transactions(spark, d)))
+
+
+@query("scc_share", _SCC + """, x AS (SELECT is_laundering, coalesce(a.component = b.component AND a.size > 1, false) AS inside FROM f JOIN k a ON a.node = src JOIN k b ON b.node = dst),
+    y AS (SELECT 'all' AS kind, inside FROM x UNION ALL SELECT 'laundering', inside FROM x WHERE is_laundering = 1)
+    SELECT kind, count(*) AS transactions, count(*) FILTER (WHERE inside) AS in_nontrivial_scc, round(100 * avg(inside::INT), 8) AS share_pct FROM y GROUP BY 1""")
+def scc_share(spark: SparkSession, d: str) -> DataFrame:
+    t = transactions(spark, d)
+    return graph.scc_share(t, _components(t)).select("kind", "transactions", "in_nontrivial_scc", _r("share_pct", 8))
+
+
+@query("numbered_pairs", sql(", v AS (SELECT src AS node FROM f UNION SELECT dst FROM f), ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS ix FROM v) SELECT a.ix AS s, b.ix AS d, count(*) AS n, CAST(sum(is_laundering) AS BIGINT) AS ill FROM f JOIN ids a ON a.node = src JOIN ids b ON b.node = dst GROUP BY 1, 2"))
+def numbered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.numbered_pairs(transactions(spark, d))[1]
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = sql(", g AS (SELECT DISTINCT src, dst FROM f), v AS (SELECT node, (SELECT count(*) FROM g WHERE src = node) AS o FROM (SELECT src AS node FROM g UNION SELECT dst FROM g)), n AS (SELECT count(*)::DOUBLE AS n FROM v), x0 AS (SELECT node, o, 1 / n AS x FROM v, n)")
+def _pagerank_sql(rounds: int, digits: int) -> str:
+    out = sql(", g AS (SELECT DISTINCT src, dst FROM f), v AS (SELECT node, (SELECT count(*) FROM g WHERE src = node) AS o FROM (SELECT src AS node FROM g UNION SELECT dst FROM g)), n AS (SELECT count(*)::DOUBLE AS n FROM v), x0 AS MATERIALIZED (SELECT node, o, 1 / n AS x FROM v, n)")
     for i in range(rounds):
-        out += f", x{i + 1} AS (SELECT v.node, v.o, 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(x), 0) FROM x{i} WHERE o = 0) / n) + 0.15 / n AS x FROM v JOIN n ON true LEFT JOIN (SELECT g.dst AS node, sum(x / o) AS got FROM g JOIN x{i} ON x{i}.node = g.src GROUP BY 1) s ON s.node = v.node)"
-    return out + f" SELECT node, round(x * n, 8) AS pagerank_scaled FROM x{rounds}, n"
+        out += f", x{i + 1} AS MATERIALIZED (SELECT v.node, v.o, 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(x), 0) FROM x{i} WHERE o = 0) / n) + 0.15 / n AS x FROM v JOIN n ON true LEFT JOIN (SELECT g.dst AS node, sum(x / o) AS got FROM g JOIN x{i} ON x{i}.node = g.src GROUP BY 1) s ON s.node = v.node)"
+    return out + f" SELECT node, round(x * n, {digits}) AS pagerank_scaled FROM x{rounds}, n"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(40, 3))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return graph.pagerank(transactions(spark, d)).select("node", _r("pagerank_scaled", 3))
+
+
+@query("pagerank_5_rounds", _pagerank_sql(5, 8))
+def pagerank_5_rounds(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(transactions(spark, d), max_iter=5, stop=False).select("node", _r("pagerank_scaled", 8))
 
 
-@query("clustering", sql(f", g AS (SELECT DISTINCT src AS a, dst AS b FROM f WHERE {SPARSE} UNION SELECT dst, src FROM f WHERE {SPARSE}), tri AS (SELECT x.a AS node, count(*) / 2 AS t FROM g x JOIN g y ON x.b = y.a JOIN g z ON y.b = z.b AND z.a = x.a WHERE y.b <> x.a GROUP BY 1) SELECT node, degree, CAST(coalesce(t, 0) AS BIGINT) AS triangles, round(CASE WHEN degree < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (degree * (degree - 1)) END, 8) AS clustering FROM (SELECT a AS node, count(*) AS degree FROM g GROUP BY 1) LEFT JOIN tri USING (node)"))
+@query("clustering", sql(", g AS (SELECT DISTINCT src AS a, dst AS b FROM f UNION SELECT dst, src FROM f), tri AS (SELECT x.a AS node, count(*) / 2 AS t FROM g x JOIN g y ON x.b = y.a JOIN g z ON y.b = z.b AND z.a = x.a WHERE y.b <> x.a GROUP BY 1) SELECT node, degree, CAST(coalesce(t, 0) AS BIGINT) AS triangles, round(CASE WHEN degree < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (degree * (degree - 1)) END, 8) AS clustering FROM (SELECT a AS node, count(*) AS degree FROM g GROUP BY 1) LEFT JOIN tri USING (node)"))
 def clustering(spark: SparkSession, d: str) -> DataFrame:
-    return graph.clustering(C.flows(transactions(spark, d)).where(SPARSE)).select("node", "degree", "triangles", _r("clustering", 8))
+    return graph.clustering(C.flows(transactions(spark, d))).select("node", "degree", "triangles", _r("clustering", 8))
 
 
 _EGO = """, h1 AS (SELECT other AS node FROM legs WHERE acc = 'U0' GROUP BY 1 ORDER BY max(amt_usd) DESC, 1 LIMIT 39),
@@ -406,6 +466,33 @@ def detector_precision(spark: SparkSession, d: str) -> DataFrame:
     return p.select("detector", "n_findings", "n_txns", "n_laundering", _r("precision", 8), _r("recall_all", 8), _r("finding_precision", 8))
 
 
+#: Findings whose SQL lists their transactions.
+_LISTED = ("temporal_cycle", "scatter_gather", "gather_scatter", "pass_through")
+_FOUND = ", ff AS (" + " UNION ALL ".join(f"SELECT '{n}' AS detector, txn_ids, score FROM f_{n}" for n in _LISTED) + "), cov AS (SELECT DISTINCT detector, CAST(unnest(string_split(txn_ids, ',')) AS BIGINT) AS txn_id FROM ff)"
+
+
+def _found(t: DataFrame) -> DataFrame:
+    return detectors.run_all(t, _ALL).where(F.col("detector").isin(*_LISTED))
+
+
+@query("findings_recall", _all_sql() + _ATTEMPTS + _FOUND + ", a AS (SELECT attempt_id, min(typology) AS typology, " + ", ".join(f"avg((txn_id IN (SELECT txn_id FROM cov WHERE detector = '{n}'))::INT) AS {n}" for n in _LISTED) + """, avg((txn_id IN (SELECT txn_id FROM cov))::INT) AS any_detector FROM att GROUP BY 1)
+    SELECT coalesce(typology, 'ALL') AS typology, count(*) AS n_attempts, """ + ", ".join(f"round(avg(({n} >= 0.1)::INT), 8) AS {n}" for n in [*_LISTED, "any_detector"]) + " FROM a GROUP BY ROLLUP (typology)")
+def findings_recall(spark: SparkSession, d: str) -> DataFrame:
+    t = transactions(spark, d)
+    out = evaluation.typology_recall(session.stored(_found(t), "found"), _attempts(t), 0.1, list(_LISTED))
+    return out.select("typology", "n_attempts", *[_r(n, 8) for n in [*_LISTED, "any_detector"]])
+
+
+@query("findings_precision", _all_sql() + _ATTEMPTS + _FOUND + """, bad AS (SELECT txn_id FROM t WHERE is_laundering = 1), c AS (SELECT * FROM cov UNION ALL SELECT DISTINCT 'ANY', txn_id FROM cov),
+    x AS (SELECT detector, count(*) AS n_txns, count(*) FILTER (WHERE txn_id IN (SELECT txn_id FROM bad)) AS n_laundering, count(*) FILTER (WHERE txn_id IN (SELECT txn_id FROM att)) AS n_listed FROM c GROUP BY 1),
+    n AS (SELECT detector, count(*) AS n_findings FROM ff GROUP BY 1 UNION ALL SELECT 'ANY', count(*) FROM ff)
+    SELECT detector, n_findings, n_txns, n_laundering, round(n_laundering / n_txns, 8) AS precision, round(n_laundering / (SELECT count(*) FROM bad), 8) AS recall_all, round(n_listed / (SELECT count(*) FROM att), 8) AS recall_attributed FROM x JOIN n USING (detector)""")
+def findings_precision(spark: SparkSession, d: str) -> DataFrame:
+    t = transactions(spark, d)
+    p = evaluation.detector_precision(session.stored(_found(t), "found"), t.select("txn_id", "is_laundering"), _attempts(t))
+    return p.select("detector", "n_findings", "n_txns", "n_laundering", _r("precision", 8), _r("recall_all", 8), _r("recall_attributed", 8))
+
+
 @query("recall_by_size", sql(_ATTEMPTS + _COVER + """, a AS (SELECT attempt_id, count(*) AS size, avg((txn_id IN (SELECT txn_id FROM cov))::INT) AS s FROM att GROUP BY 1)
     SELECT CASE WHEN size <= 2 THEN '1-2' WHEN size <= 5 THEN '3-5' WHEN size <= 10 THEN '6-10' ELSE '>10' END AS size_bucket, count(*) AS attempts, round(avg((s >= 0.5)::INT), 8) AS detected FROM a GROUP BY 1"""))
 def recall_by_size(spark: SparkSession, d: str) -> DataFrame:
@@ -497,6 +584,25 @@ def money_flows(spark: SparkSession, d: str) -> DataFrame:
     return views.money_flows(transactions(spark, d), "U3").select("direction", "level", "src", "dst", _r("usd"), "n")
 
 
+@query("busiest_format", sql("SELECT payment_format, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1"))
+def busiest_format(spark: SparkSession, d: str) -> DataFrame:
+    return views.most_common(transactions(spark, d), "payment_format")
+
+
+@query("period_flows", sql("SELECT src, count(*) AS n, round(sum(amt_usd), 7) AS usd FROM f WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND amt_usd >= 20 GROUP BY 1"))
+def period_flows(spark: SparkSession, d: str) -> DataFrame:
+    views.filtered_view(transactions(spark, d), "heddle_flows", "src <> dst")
+    text = "SELECT src, count(*) AS n, round(sum(amt_usd), 7) AS usd FROM heddle_flows WHERE timestamp BETWEEN :start AND :end AND amt_usd >= :least GROUP BY src"
+    return views.bound(spark, text, start=datetime(2024, 1, 5), end=datetime(2024, 1, 20), least=20.0)
+
+
+@query("bank_accounts", "SELECT lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS bank, count(*) AS n_accounts FROM customer GROUP BY 1")
+def bank_accounts(spark: SparkSession, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    ids = c.select(C.node_id(F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), F.col("c_custkey").cast("string")).alias("acc"))
+    return ids.groupBy(C.bank_of(F.col("acc")).alias("bank")).agg(F.count("*").alias("n_accounts"))
+
+
 @query("top_accounts", sql("SELECT acc, round(sum(amt_usd), 7) AS usd FROM legs GROUP BY 1 ORDER BY sum(amt_usd) DESC, acc LIMIT 20"))
 def top_accounts(spark: SparkSession, d: str) -> DataFrame:
     s = C.legs(C.flows(transactions(spark, d)), "amt_usd").groupBy("acc").agg(F.sum("amt_usd").alias("usd"))
@@ -513,7 +619,7 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    return anomaly.isolation_forest(_matrix(spark, d), "acc", NUMERIC, trees=50)
+    return anomaly.isolation_forest(_matrix(spark, d), "acc", NUMERIC)
 
 
 @query("local_outlier_factor")
@@ -523,21 +629,21 @@ def local_outlier_factor(spark: SparkSession, d: str) -> DataFrame:
 
 @query("account_features")
 def account_features(spark: SparkSession, d: str) -> DataFrame:
-    return features.account_features(C.flows(transactions(spark, d)).where(SPARSE))
+    return features.account_features(transactions(spark, d))
 
 
 @query("supervised_margins")
 def supervised_margins(spark: SparkSession, d: str) -> DataFrame:
     split = supervised.temporal_split(features.transaction_features(transactions(spark, d).where("amt_usd > -1"), (7,)))
-    return supervised.margins(supervised.fit(split, rounds=3, depth=3), split)
+    return supervised.margins(supervised.fit(split), split)
 
 
 @query("density_clusters")
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.hdbscan(anomaly.principal_components(_matrix(spark, d), "acc", NUMERIC, 5), "acc", smallest=10, small=30)
+    return clusters.hdbscan(anomaly.principal_components(_matrix(spark, d), "acc", NUMERIC, 5), "acc")
 
 
 @query("attributions")
 def attributions(spark: SparkSession, d: str) -> DataFrame:
     split = supervised.temporal_split(features.transaction_features(transactions(spark, d).where("amt_usd > -1"), (7,)))
-    return attribution.attributions(supervised.fit(split, rounds=3, depth=3), split.where("split = 'test'"))
+    return attribution.attributions(supervised.fit(split, rounds=20, depth=4), split.where("split = 'test'"))
