@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from heddle.llm import ann, common, embed_dedup, near_copies, simhash
@@ -78,6 +81,15 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(d.where("false")).collect() == [] and simhash.keep_first(d.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(120)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (9, b), (7, a), (5, f"{a} once"), (4, c), (3, c), (None, c), (None, c)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        got = sorted((r.doc_id or 0, r.text[:2]) for r in keep(d).collect())
+        assert got == sorted([(0, c[:2])] * 2 + [(3, c[:2]), (5, a[:2]), (5, b[:2])])
+
+
 def five_word_set(text):
     words = (text or "").lower().split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -179,6 +191,42 @@ def test_relaxed_search_keeps_recall():
     assert len(a) == 1000 and len(a & b) / len(a) >= 0.9
 
 
+def clustered(n, dims=16, groups=24):
+    rng = np.random.default_rng(5)
+    c = rng.standard_normal((groups, dims)) * 4
+    return np.concatenate([c[i % groups][None] + 0.3 * rng.standard_normal((1, dims)) for i in range(n)])
+
+
+def test_clustered_vectors_are_pruned(spark):
+    x = clustered(3000)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    tree = ann.VantageTree(np.arange(3000), x, 32)
+    tree.search(np.arange(0, 3000, 20), x[::20])
+    assert tree.scanned < 0.25 * 150 * 3000
+    rows = [(i, x[i].tolist(), 0) for i in range(3000)]
+    v = vectors(spark, rows).selectExpr("vec_id", "cast(embedding as array<double>) as vector", "size(embedding) as dim")
+    pivots = ann.pivots_of(v, 512, 100)
+    d = ann.celled(v, pivots).cache()
+    balls = {16: np.zeros((2, len(pivots[16])))}
+    for r in d.groupBy("cell").agg({"far": "max", "norm": "max"}).collect():
+        balls[16][:, r.cell] = r["max(far)"], r["max(norm)"]
+    q = d.where("vec_id % 20 = 0").withColumn("least", F.lit(0.97))
+    assert 30 == len(pivots[16]) and ann.onward(q, pivots, balls, 1.0).count() < 150 * 29 * 0.3
+    assert sorted(map(tuple, ann.nearest(vectors(spark, rows), shard_rows=100, block_rows=16, leaf=16).collect())) == brute([(i, [float(np.float32(v)) for v in e], 0) for i, e, _ in rows])
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_relaxed_search_of_the_tables_own_vectors(spark):
+    """Without clusters, in 64 dimensions, nothing can be skipped but at the price of recall."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in e], dtype=float)
+    ids = np.array([r.vec_id for r in e])
+    tree = ann.VantageTree(ids, x, 32)
+    q = ids % 20 == 0
+    exact, loose = (set(zip(*[a.tolist() for a in tree.search(ids[q], x[q], factor=f)[:2]], strict=True)) for f in (1.0, 0.15))
+    assert len(exact & loose) >= 0.8 * len(exact)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     chain = [(i, i + 1) for i in range(100, 160)]
