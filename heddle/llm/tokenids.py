@@ -23,12 +23,14 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from heddle.functions import scans
 from heddle.llm import common, tokens
 
 #: Documents a shard holds, about.
-SHARD_ROWS = 8192
+SHARD_ROWS = 131_072
+#: Bytes of text in a shard, on average at most.
+SHARD_BYTES = 64 << 20
 MAGIC = b"HDLIDS01"
 META = "shard int, path string, docs long, ids long"
 
@@ -98,6 +100,12 @@ def _print(h: np.ndarray) -> np.ndarray:
     return (_mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype("<u4")
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI, by the names that Spark gives them: s3a is S3, viewfs goes by HDFS's library."""
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def write_shard(fs: pafs.FileSystem, path: str, batches: Iterator[tuple[list, list]], name: str, attempt: int) -> tuple[int, int]:
     """Writes the (doc_ids, texts) of batches, sorted by doc_id; gives the counts of documents and ids."""
     enc = tokens.encoder(name)
@@ -139,7 +147,7 @@ class Shard:
     """Keyed access to one shard file."""
 
     def __init__(self, uri: str):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
         self.file = fs.open_input_file(path)
         total = self.file.size()
         tail = self.file.read_at(16, total - 16)
@@ -174,12 +182,16 @@ class Shard:
         return None if start[0] < 0 else self.read(int(start[0]), int(length[0]))
 
 
-def write(docs: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, tokenizer: str = tokens.NAME) -> DataFrame:
-    """Writes docs (doc_id, text) as shards in ascending doc_id order below folder; gives a META row for each shard."""
-    n = docs.select("doc_id").count()
+def write(docs: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, tokenizer: str = tokens.NAME) -> DataFrame:
+    """Writes docs (doc_id, text) as shards in ascending doc_id order below folder; gives a META row for each shard.
+
+    Shards have some shard_bytes of text on average, and some shard_rows documents at most.
+    """
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-rows // shard_rows), -(-size // shard_bytes))
     # equal ids may be many: a hash of the text lets them spread over several shards
     d = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text"))
-    d = d.repartitionByRange(max(1, -(-n // shard_rows)), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    d = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -188,7 +200,7 @@ def write(docs: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, tokenizer:
             return
         shard = task.partitionId()
         uri = posixpath.join(folder, f"shard-{shard:07d}.ids")
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
         fs.create_dir(posixpath.dirname(path), recursive=True)
 
         def rows() -> Iterator[tuple[list, list]]:
@@ -200,14 +212,13 @@ def write(docs: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, tokenizer:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([count]), pa.array([ids])], ["shard", "path", "docs", "ids"])
 
     # one small row a shard: a few files hold them
-    return common.stored(common.map_arrow(d, run, META).repartition(1 + n // (shard_rows * 10_000)), "shards")
+    return common.stored(common.map_arrow(d, run, META).repartition(1 + n // 10_000), "shards")
 
 
 def documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, looked up in the files by its key."""
-    # a row for each shard, of thousands of documents: the running sum over them is small
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    based = shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    upto = scans.global_sums(shards.select("shard", "path", F.col("ids").alias("own"), "ids"), "shard", ["ids"], descending=False)
+    based = upto.withColumn("base", F.col("ids") - F.col("own"))
     n = max(1, min(shards.count(), 100_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ from tokenizers import Tokenizer
 
 NAME = "byte_bpe_50k.json"
 END = 0
+#: Characters of the longest word that is kept.
+LONGEST = 64
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -23,18 +25,18 @@ class _Words(dict):
     """Ids (as bytes) of words, by word; lead is what stands before each in its text."""
 
     def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.held = encoder, lead, 0
         self.old: dict[str, bytes] = {}
 
     def age(self) -> None:
         """The words so far become old; of them, those that were old already and weren't met again go."""
         self.old = dict(self)
         self.clear()
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
         if (out := self.old.get(word)) is not None:
-            self[word] = out
-            return out
+            return self.keep(word, out)
         if any(map(str.isspace, word)):
             raise _Odd
         if word[-1:] in (".", ",") and word[:-1].isalpha():
@@ -43,7 +45,15 @@ class _Words(dict):
             out = self.encoder.letters(self.lead, word)
         else:
             out = self.encoder.raw(self.lead + word)
-        self[word] = out
+        return self.keep(word, out)
+
+    def keep(self, word: str, out: bytes) -> bytes:
+        """Long runs without a space are no words that come again; they are not kept."""
+        if len(word) <= LONGEST:
+            self[word] = out
+            self.held += 150 + 4 * len(word) + len(out)
+            if len(self) > self.encoder.limit or self.held > self.encoder.most_bytes:
+                self.age()
         return out
 
 
@@ -56,14 +66,14 @@ class Encoder:
     special token's mark as a whole.
     """
 
-    def __init__(self, name: str = NAME, limit: int = 300_000):
-        """name: a file of public_tokenizers, or a path. limit: words kept in each of two generations, some
-        150 bytes a word."""
+    def __init__(self, name: str = NAME, limit: int = 300_000, most_bytes: int = 72_000_000):
+        """name: a file of public_tokenizers, or a path. limit, most_bytes: words, and their bytes, that each of two
+        tables keeps in each of two generations."""
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.model = self.library.model
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
-        self.limit = limit
+        self.limit, self.most_bytes = limit, most_bytes
         self.first, self.later = _Words(self, ""), _Words(self, " ")
         self.line = self.raw("\n")
 
@@ -86,10 +96,6 @@ class Encoder:
             return b""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n":
             return self.raw(text)
-        if len(self.later) > self.limit:
-            self.later.age()
-        if len(self.first) > self.limit:
-            self.first.age()
         later, parts = self.later.__getitem__, []
         try:
             for line in text.split("\n"):
