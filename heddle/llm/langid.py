@@ -274,7 +274,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 def keep_known(docs: DataFrame, net: Network | None, least: float = HALF) -> DataFrame:
     """The rows of docs whose text has a letter and a language of at least the given probability, with all their columns.
 
-    The network knows no language but those it learned, so texts of other scripts get theirs by chance: at least
+    Without a network, as where no row has a language, nothing is known against a text with a letter. The network knows no language but those it learned, so texts of other scripts get theirs by chance: at least
     the same share of a text's pairs of bytes must occur in training documents.
     """
     at = docs.columns.index("text")
@@ -282,7 +282,9 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = HALF) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if has_letter(t) else "" for t in b.column(at).to_pylist()]
-            if net is not None and len(texts):
+            if net is None:
+                yield b.filter(pa.array([bool(t) for t in texts], pa.bool_()))
+            elif texts:
                 p = probabilities(net, texts).max(1)
                 yield b.filter(pa.array([bool(t) and x >= least - 1e-6 and familiar(net, t) >= least for t, x in zip(texts, p, strict=True)], pa.bool_()))
 
