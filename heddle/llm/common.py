@@ -123,6 +123,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = stored(
         edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "edges"
     )
+    if e.isEmpty():
+        return e.select(F.col("a").alias("v"), F.col("b").alias("root"))
     seen = None
     for _ in range(rounds):
         # large star: every larger neighbour of a moves to the smallest of a and its neighbours
