@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from heddle.llm import common
 
 #: Labelled examples of each kind at most, and characters of one.
-MAX_EACH = 1000
+MAX_EACH = 800
 MAX_CHARS = 100_000
 K = 15
-BLOCK = 32
+BLOCK = 64
 #: The least gain of a term, and that of a telling one.
 FLOOR, TELLING = 0.01, 0.25
+#: A term that more than this share of the examples hold has its weights in a matrix, not in lists.
+COMMON = 0.25
 #: Letters of a word's beginning that may stand for it, at least.
 STEM = 6
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +55,7 @@ def words(text: str | None) -> Counter:
     return Counter(WORD.findall(text.lower())) if text else Counter()
 
 
-def vocabulary(counts: list[Counter], labels: np.ndarray, chance: float = 0.01) -> tuple[dict[str, int], np.ndarray]:
+def vocabulary(counts: list[Counter], labels: np.ndarray, chance: float = 0.01) -> tuple[Terms, np.ndarray]:
     """Words that two examples or more hold, and their gains."""
     hits = (Counter(), Counter())
     for c, y in zip(counts, labels, strict=True):
@@ -66,25 +68,38 @@ def vocabulary(counts: list[Counter], labels: np.ndarray, chance: float = 0.01)
         chi = ((a / n1 - share) ** 2 * n1 + (b / n0 - share) ** 2 * n0) / (share * (1 - share))
     chi = np.nan_to_num(chi, posinf=0.0)
     by_chance = 2 * np.log((len(hits[0].keys() | hits[1].keys()) + 1) / chance)
-    return {t: i for i, t in enumerate(terms)}, np.maximum((chi / (chi + by_chance)) ** 2, FLOOR)
+    return Terms(terms), np.maximum((chi / (chi + by_chance)) ** 2, FLOOR)
 
 
-def known(counts: Counter, terms: dict[str, int]) -> dict[int, int]:
-    """Counts by term; a word outside the vocabulary is read as its longest beginning in it, of STEM letters or more."""
-    out: dict[int, int] = {}
-    for w, n in counts.items():
-        i = terms.get(w)
-        at = len(w) - 1
-        while i is None and at >= STEM:
-            i = terms.get(w[:at])
-            at -= 1
-        if i is not None:
-            out[i] = out.get(i, 0) + n
-    return out
+class Terms(dict):
+    """Terms by word; a word outside the vocabulary is read as its longest beginning in it, of STEM letters or more."""
+
+    def __init__(self, words: list[str]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.stems = {w[:STEM] for w in words}
+
+    def __reduce__(self) -> tuple:
+        return Terms, (list(self),)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """Counts by term of words(text)."""
+        out: dict[int, int] = {}
+        of, stems = self.get, self.stems
+        for w, n in words(text).items():
+            i = of(w)
+            if i is None and w[:STEM] in stems:
+                i = next((of(w[:at]) for at in range(len(w) - 1, STEM - 1, -1) if w[:at] in self), None)
+            if i is not None:
+                out[i] = out.get(i, 0) + n
+        return out
 
 
 class BlockMaxIndex:
-    """Inverted lists in blocks of examples; a cell is a term's list in a block, with its largest weight."""
+    """Inverted lists in blocks of examples; a cell is a term's list in a block, with its largest weight.
+
+    What common terms, whose lists would hold most examples, add to the similarities is summed from a matrix for all
+    examples at once; a block's bound is the largest such sum in it and the largest weights of the other terms.
+    """
 
     def __init__(self, vectors: list[Vector], ids: np.ndarray, n_terms: int, block: int = BLOCK):
         # examples of like vectors share blocks, so that bounds are tight
@@ -96,6 +111,12 @@ class BlockMaxIndex:
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         example = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
+        often = np.bincount(term, minlength=n_terms) > max(COMMON * self.n, 8)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.matrix = np.zeros((int(often.sum()), self.n))
+        here = often[term]
+        self.matrix[self.row[term[here]], example[here]] = weight[here]
+        term, weight, example = term[~here], weight[~here], example[~here]
         by = np.lexsort((example, term))
         self.weight, self.example = weight[by], example[by].astype(np.int32)
         cells, start = np.unique(term[by] * self.blocks + self.example // block, return_index=True)
@@ -114,29 +135,40 @@ class BlockMaxIndex:
         at = self._spread(self.start[cell], n)
         return np.bincount(self.example[at], self.weight[at] * np.repeat(w, n), minlength=self.n)
 
-    def nearest(self, v: Vector, k: int = K, but: int | None = None) -> Vector:
-        """Places and similarities of the k nearest with similarity over 0; but: a place left out."""
+    def common(self, vectors: list[Vector]) -> np.ndarray:
+        """What common terms add to the similarity of each vector with each example."""
+        out = np.zeros((len(vectors), len(self.matrix)))
+        for i, (term, w) in enumerate(vectors):
+            row = self.row[term]
+            out[i, row[row >= 0]] = w[row >= 0]
+        return out @ self.matrix
+
+    def nearest(self, v: Vector, k: int = K, but: int | None = None, s: np.ndarray | None = None) -> Vector:
+        """Places and similarities of the k nearest with similarity over 0; but: a place left out; s: common([v])[0], if known."""
         none = np.zeros(0, np.int64), np.zeros(0)
         if not len(v[0]) or not self.n:
             return none
-        n = self.first[v[0] + 1] - self.first[v[0]]
-        cell, w = self._spread(self.first[v[0]], n), np.repeat(v[1], n)
+        s = self.common([v])[0] if s is None else s
+        row = self.row[v[0]]
+        term, w = v[0][row < 0], v[1][row < 0]
+        n = self.first[term + 1] - self.first[term]
+        cell, w = self._spread(self.first[term], n), np.repeat(w, n)
         block = self.at[cell]
-        bound = np.bincount(block, self.most[cell] * w, minlength=self.blocks)
+        bound = np.maximum.reduceat(s, np.arange(0, self.n, self.block)) + np.bincount(block, self.most[cell] * w, minlength=self.blocks)
         # blocks of the highest bounds first; the k-th best in them is what the others must reach
         lead = np.zeros(self.blocks, dtype=bool)
         lead[np.argsort(-bound, kind="stable")[: max(2, 2 * k // self.block + 1)]] = True
         now = lead[block]
-        s = self._scores(cell[now], w[now])
+        s += self._scores(cell[now], w[now])
         if but is not None:
             s[but] = 0
-        kth = np.partition(s, -k)[-k] if self.n > k else 0.0
+        kth = np.partition(s, -k)[-k] if self.n > k else 0.0  # blocks passed over count with a part of theirs, at most
         rest = ((bound >= kth - 1e-9) & ~lead)[block]
         if rest.any():
             s += self._scores(cell[rest], w[rest])
             if but is not None:
                 s[but] = 0
-        hit = np.flatnonzero(s > 0)
+        hit = np.flatnonzero(s > max(0.0, kth - 1e-9) if self.n > k else s > 0)
         best = hit[np.lexsort((self.ids[hit], -np.round(s[hit], 12)))][:k]
         return best, np.minimum(s[best], 1.0)
 
@@ -155,7 +187,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    terms: dict[str, int]
+    terms: Terms
     scale: np.ndarray
     index: BlockMaxIndex | None
     label: np.ndarray
@@ -163,13 +195,15 @@ class Model:
     rate: float
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
-    def weigh(self, counts: Counter) -> Vector:
+    def weigh(self, text: str | None) -> Vector:
         """The unit vector as (terms, weights)."""
-        held = known(counts, self.terms)
-        term = np.array(sorted(held), dtype=np.int64)
-        if not len(term):
-            return term, np.zeros(0)
-        w = (1 + np.log([held[t] for t in term.tolist()])) * self.scale[term]
+        held = self.terms.counts(text)
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0)
+        term, n = np.fromiter(held.keys(), np.int64, len(held)), np.fromiter(held.values(), np.float64, len(held))
+        order = np.argsort(term)
+        term = term[order]
+        w = (1 + np.log(n[order])) * self.scale[term]
         return term, w / np.sqrt((w * w).sum())
 
     def vote(self, places: np.ndarray, near: np.ndarray) -> float:
@@ -177,14 +211,19 @@ class Model:
         w = self.mass[places] / (1.05 - near) ** 2
         return float(((w * self.label[places]).sum() + self.rate * self.mass.mean()) / (w.sum() + self.mass.mean()))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The score and its evidence: (example id, label, similarity), nearest first."""
-        places, near = self.index.nearest(self.weigh(words(text))) if self.index is not None else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(places):
-            return self.rate, []
-        raw = self.vote(places, near)
-        p = float(np.interp(raw, *self.knots)) if self.knots is not None else raw
-        return min(max(p, 0.001), 0.999), [(int(self.index.ids[i]), int(self.label[i]), float(s)) for i, s in zip(places, near, strict=True)]
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+        """Each text's score and its evidence: (example id, label, similarity), nearest first."""
+        for at in range(0, len(texts), 64):
+            vectors = [self.weigh(t) for t in texts[at : at + 64]]
+            common = self.index.common(vectors) if self.index is not None else [None] * len(vectors)
+            for v, s in zip(vectors, common, strict=True):
+                places, near = self.index.nearest(v, s=s) if self.index is not None else (np.zeros(0, np.int64), np.zeros(0))
+                if not len(places):
+                    yield self.rate, []
+                    continue
+                raw = self.vote(places, near)
+                p = float(np.interp(raw, *self.knots)) if self.knots is not None else raw
+                yield min(max(p, 0.001), 0.999), [(int(self.index.ids[i]), int(self.label[i]), float(x)) for i, x in zip(places, near, strict=True)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,7 +244,7 @@ def _texts(docs: DataFrame, picked: DataFrame, max_chars: int) -> list:
     return sorted((r for r in rows if r.text is not None), key=lambda r: r.doc_id)
 
 
-def _counted(docs: DataFrame, terms: dict[str, int], telling: set[int]) -> DataFrame:
+def _counted(docs: DataFrame, terms: Terms, telling: set[int]) -> DataFrame:
     """Over all docs, rows (doc_id, term, n): n documents hold the term (-1: n documents in all); for documents that hold a telling word, a row of their id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +253,7 @@ def _counted(docs: DataFrame, terms: dict[str, int], telling: set[int]) -> DataF
             holds = []
             for t in b.column(1):
                 n += 1
-                own = known(words(t.as_py()), terms).keys()
+                own = terms.counts(t.as_py()).keys()
                 hits[list(own)] += 1
                 holds.append(not telling.isdisjoint(own))
             ids = b.column(0).filter(pa.array(holds, pa.bool_())).drop_null()
@@ -233,11 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_chars:
     total = sum(sizes.values())
     rate = sizes.get(1, 0) / total if total else 0.0
     rows = _texts(docs, _drawn(taught.where("toxic = 0"), max_each).union(_drawn(taught.where("toxic = 1"), max_each)), max_chars) if len(sizes) > 1 else []
-    counts = [words(r.text) for r in rows]
     y = np.array([r.toxic for r in rows], dtype=int)
     if len(set(y.tolist())) < 2:
-        return Model({}, np.zeros(0), None, np.zeros(0), np.zeros(0), rate)
-    terms, gain = vocabulary(counts, y)
+        return Model(Terms([]), np.zeros(0), None, np.zeros(0), np.zeros(0), rate)
+    terms, gain = vocabulary([words(r.text) for r in rows], y)
     telling = set(np.flatnonzero(gain > TELLING).tolist())
     # one pass of all documents: document frequencies, and which hold telling words
     found = common.stored(_counted(docs, terms, telling), "counted")
@@ -248,15 +286,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH, max_chars:
     # class 0 rows that hold telling words are few and say the most: they are drawn anew, as a class of their own
     hard = common.stored(taught.where("toxic = 0").join(found.where("term is null").select("doc_id").distinct(), "doc_id", "left_semi"), "hard")
     n_hard = hard.count()
-    keep = [bool(r.toxic) or telling.isdisjoint(known(c, terms)) for r, c in zip(rows, counts, strict=True)]
+    keep = [bool(r.toxic) or telling.isdisjoint(terms.counts(r.text)) for r in rows]
     more = _texts(docs, _drawn(hard, max_each), max_chars)
     rows = [r for r, k in zip(rows, keep, strict=True) if k]
-    counts = [c for c, k in zip(counts, keep, strict=True) if k] + [words(r.text) for r in more]
     group = np.array([r.toxic for r in rows] + [2] * len(more))
     y = (group == 1).astype(int)
     whole = {0: sizes[0] - n_hard, 1: sizes[1], 2: n_hard}
     model = Model(terms, (np.log((1 + n) / (1 + frequency)) + 1) * gain, None, np.zeros(len(y)), np.zeros(len(y)), rate)
-    vectors = [model.weigh(c) for c in counts]
+    vectors = [model.weigh(r.text) for r in rows + more]
     ids = np.array([r.doc_id for r in rows + more], dtype=np.int64)
     model.index = BlockMaxIndex(vectors, ids, len(terms))
     at = np.array([model.index.place[int(i)] for i in ids])
@@ -281,7 +318,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [model.score(t.as_py()) for t in b.column(2)]
+            done = list(model.scores(b.column(2).to_pylist()))
             p = np.array([x[0] for x in done], dtype=np.float64)
             why = [" ".join(f"{i}:{y}:{s:.4f}" for i, y, s in x[1][:3]) for x in done]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(why, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -296,6 +333,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([model.score(t.as_py())[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([x[0] < 0.5 for x in model.scores(b.column(at).to_pylist())], pa.bool_()))
 
     return common.map_arrow(docs, run, docs.schema)
