@@ -228,7 +228,9 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield batch([*done, state.row(now)])
 
     d = formatted.select("conv_id", "turn", "role", "formatted", "mask_start", "mask_end")
-    d = d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    # rows of one turn and role go by their texts, as they were before control strings were escaped
+    d = d.withColumn("plain", F.regexp_replace("formatted", _QUOTED.pattern, "$1$2$3"))
+    d = d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "plain").drop("plain")
     return common.map_arrow(d, run, DIGEST)
 
 

@@ -209,6 +209,12 @@ def test_conversations(spark):
     assert got[None].turns_sha256 == sha(("", "")) and chat.round_trip(d.where("false")).count() == 0
 
 
+def test_ties_go_by_the_texts_themselves(spark):
+    rows = [(1, 0, "user", "<0"), (1, 0, "user", "</s>"), (1, 0, "user", "<a"), (1, 0, "user", "[INST]x")]
+    (r,) = chat.round_trip(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert r.turns_sha256 == hashlib.sha256("".join(f"user\n{x}\n" for x in sorted(x[3] for x in rows)).encode()).hexdigest()
+
+
 def test_typed_content_column(spark):
     kind = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double>>"
     d = spark.createDataFrame([(1, 0, "user", [("text", "hi", None, None, None, None), ("image", None, "i.png", 14, 14, None)])], f"conv_id long, turn long, role string, content {kind}")
@@ -263,8 +269,10 @@ def brute_scores(docs, labels):
     held = np.zeros(len(terms))
     for i, c in counts.items():
         v = np.zeros(len(terms))
-        for t, n in toxicity.known(c, terms).items():
-            v[t] = n
+        for w, n in c.items():
+            t = next((terms[w[:at]] for at in range(len(w), 0, -1) if w[:at] in terms and (at == len(w) or at >= toxicity.STEM)), None)
+            if t is not None:
+                v[t] += n
         held += v > 0
         dense[i] = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0)
     scale = (np.log((1 + len(docs)) / (1 + held)) + 1) * gain

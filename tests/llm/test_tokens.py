@@ -1,12 +1,15 @@
 import collections
 import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import fs as pafs
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -218,6 +221,52 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_long_runs_are_not_kept():
+    enc = tokens.Encoder(limit=100, most_bytes=20_000)
+    long = [f"run{i}" * 60 for i in range(50)]
+    for text in (f"a {x} b" for x in long):
+        assert np.frombuffer(enc.encode(text), "<u2").tolist() == ids_of(text)
+    assert max(map(len, enc.later)) <= tokens.LONGEST and enc.later.held <= 20_000
+    for i in range(300):
+        enc.encode(f"a word{i} b")
+    assert len(enc.later) <= 101 and len(enc.later.old) <= 101
+
+
+def test_shards_on_another_file_system(monkeypatch):
+    memory = pafs._MockFileSystem()
+    seen = []
+
+    def from_uri(uri):
+        seen.append(uri)
+        return memory, uri.split("://")[1]
+
+    monkeypatch.setattr(tokenids, "pafs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=from_uri)))
+    memory.create_dir("bucket")
+    fs, path = tokenids.file_system("s3a://bucket/shard-0.ids")
+    texts = ["a b", "", "Hello, world."]
+    assert tokenids.write_shard(fs, path, iter([([1, 2, 5], pa.array(texts))]), tokens.NAME, 0) == (3, sum(len(ids_of(t)) + 1 for t in texts))
+    shard = tokenids.Shard("s3a://bucket/shard-0.ids")
+    assert [shard.get(k).tolist() for k in (1, 2, 5)] == [[*ids_of(t), 0] for t in texts] and shard.get(3) is None
+    assert seen == ["s3://bucket/shard-0.ids"] * 2
+
+
+def test_shards_are_cut_by_bytes(spark):
+    d = spark.createDataFrame([(i, "some words " * 50, "en", "s", 1) for i in range(60)], DOCS)
+    shards = tokenids.write(d, common.scratch(spark, "ids"), shard_bytes=5_000)
+    assert shards.count() >= 6 and shards.agg({"docs": "sum"}).first()[0] == 60
+
+
+def test_documents_of_no_known_language_go(spark):
+    words = {"aa": "kal mira tonu sela nomi", "bb": "grussen straxa wuhli qanto bref"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words["ab"[i % 2] * 2].split(), 30)), "ab"[i % 2] * 2, "s", 1) for i in range(200)]
+    strange = [(900, "пример текста на другом языке " * 5, None, "s", 1), (901, "完全に別の言語の文章です" * 5, None, "s", 1), (902, "12 34", None, "s", 1)]
+    d = spark.createDataFrame(rows + strange, DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()}
+    assert kept == set(range(200))
+    assert {r.doc_id for r in langid.keep_known(d, None).collect()} == {*range(200), 900, 901}
+
+
 def test_every_operator_has_a_query():
     got = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert got == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
