@@ -29,6 +29,8 @@ HIDDEN = 8
 SPAN = 64
 #: Training documents for each language, and windows for each training step.
 MAX_DOCS = 300
+#: Characters of a training document, at most; all texts are labelled whole.
+MAX_CHARS = 200_000
 BATCH = 512
 STEPS = 300
 #: What a kept document's language must get of it.
@@ -217,9 +219,9 @@ def probabilities(net: Network, texts: list[str], span: int = SPAN, side: int =
     return out / np.maximum(sizes, 1)[:, None]
 
 
-def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(text, lang) of at most max_docs training documents of each language, by a hash of their ids."""
-    d = docs.where((common.fold_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(text, lang) of at most max_docs training documents of each language, of at most max_chars each, by a hash of their ids."""
+    d = docs.where((common.fold_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
     sizes = d.groupBy("lang").count().withColumn("part", F.least(F.lit(1.0), F.lit(3.0 * max_docs) / F.col("count")))
     h = F.xxhash64(F.lit(5), F.col("doc_id"))
     drawn = d.select("doc_id", "lang").join(F.broadcast(sizes), "lang").withColumn("h", h)  # a row for each language
