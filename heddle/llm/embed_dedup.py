@@ -157,31 +157,31 @@ def fine_pairs(z: np.ndarray, group: np.ndarray, home: np.ndarray, side: np.ndar
     """
     at_home = np.bincount(group[home], minlength=group.max() + 1)
     # each more axis leaves some 0.57 of the pairs and doubles the cells that a row looks up
-    depth = np.ceil(np.log(8 * np.maximum(at_home, 1)) / 1.25).astype(int).clip(0, min(6, z.shape[1] - axes))
+    depth = np.round(np.log(2 * np.maximum(at_home, 1)) / 1.25).astype(int).clip(0, min(6, z.shape[1] - axes))
     reach = 1 + 1 / PARTS
     for k in np.unique(depth):
         rows = np.flatnonzero((depth[group] == k) & (at_home[group] > 0))
         sub = z[:, axes : axes + k]
         own = rows[home[rows]]
+        # a cell's code is linear in its numbers, so that the next cell of an axis is a fixed step away; it wraps, and cells that agree by chance only add pairs
+        steps = np.array([pow(6_364_136_223_846_793_005, a + 1, 1 << 64) for a in range(k)], dtype=np.uint64)
 
         def code(who: np.ndarray, cell: np.ndarray) -> np.ndarray:
-            out = group[who].astype(np.int64)
-            for a in range(cell.shape[1]):  # wraps; cells that agree by chance only add pairs
-                out = out * np.int64(6_364_136_223_846_793_005) + cell[:, a]
-            return out
+            return group[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (cell.astype(np.int64).view(np.uint64) * steps).sum(1, dtype=np.uint64)
 
-        held = code(own, np.floor(sub[own] / 2).astype(np.int64))
+        held = code(own, np.floor(sub[own] / 2))
         order = np.argsort(held, kind="stable")
         held, own = held[order], own[order]
-        low, high = (np.floor((sub[rows] + r) / 2).astype(np.int64) for r in (-reach, reach))
-        for step in np.ndindex(*[2] * int(k)):
-            cell = low + np.array(step, dtype=np.int64)
-            ok = (cell <= high).all(1)
-            who = rows[ok]
-            key = code(who, cell[ok])
+        low, high = (np.floor((sub[rows] + r) / 2) for r in (-reach, reach))
+        base = code(rows, low)
+        two = ((high > low) << np.arange(k)).sum(1)  # the axes on which a row touches a second cell
+        for bits in range(1 << int(k)):
+            ok = np.flatnonzero((two & bits) == bits)
+            key = base[ok] + steps[[a for a in range(k) if bits >> a & 1]].sum(dtype=np.uint64)
             start = np.searchsorted(held, key, "left")
+            hit = held[np.minimum(start, len(held) - 1)] == key
+            who, key, start = rows[ok[hit]], key[hit], start[hit]
             n = np.searchsorted(held, key, "right") - start
-            who, start, n = who[n > 0], start[n > 0], n[n > 0]
             ends = np.cumsum(n)
             at = 0
             while at < len(who):
