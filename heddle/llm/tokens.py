@@ -35,25 +35,19 @@ class _Words(dict):
         self.held = 0
 
     def __missing__(self, word: str) -> bytes:
-        if (out := self.old.get(word)) is not None:
-            return self.keep(word, out)
-        if any(map(str.isspace, word)):
-            raise _Odd
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            out = self[word[:-1]] + self.encoder.first[word[-1]]
-        elif word.isalpha():
-            out = self.encoder.letters(self.lead, word)
-        else:
-            out = self.encoder.raw(self.lead + word)
-        return self.keep(word, out)
-
-    def keep(self, word: str, out: bytes) -> bytes:
-        """Long runs without a space are no words that come again; they are not kept."""
-        if len(word) <= LONGEST:
+        out = self.old.get(word)
+        if out is None:
+            if word.isalpha():
+                out = self.encoder.letters(self.lead, word)
+            elif word[-1:] in (".", ",") and word[:-1].isalpha():
+                out = self[word[:-1]] + self.encoder.first[word[-1]]
+            elif any(map(str.isspace, word)):
+                raise _Odd
+            else:
+                out = self.encoder.raw(self.lead + word)
+        if len(word) <= LONGEST:  # longer runs without a space are no words that come again
             self[word] = out
-            self.held += 150 + 4 * len(word) + len(out)
-            if len(self) > self.encoder.limit or self.held > self.encoder.most_bytes:
-                self.age()
+            self.held += len(word) + len(out)
         return out
 
 
@@ -66,14 +60,15 @@ class Encoder:
     special token's mark as a whole.
     """
 
-    def __init__(self, name: str = NAME, limit: int = 300_000, most_bytes: int = 72_000_000):
-        """name: a file of public_tokenizers, or a path. limit, most_bytes: words, and their bytes, that each of two
-        tables keeps in each of two generations."""
+    def __init__(self, name: str = NAME, limit: int = 300_000, most_bytes: int = 12_000_000):
+        """name: a file of public_tokenizers, or a path. limit, most_bytes: words, some 150 bytes each beside their
+        characters and ids, and these, that each of two tables keeps in each of two generations."""
         self.library = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         self.model = self.library.model
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
         self.limit, self.most_bytes = limit, most_bytes
+        self.space = chr(ALPHABET[32])
         self.first, self.later = _Words(self, ""), _Words(self, " ")
         self.line = self.raw("\n")
 
@@ -83,6 +78,8 @@ class Encoder:
     def letters(self, lead: str, word: str) -> bytes:
         """raw(lead + word) of a word of letters. With at most a space before it, that is one piece, which
         the library's model takes as it is, its bytes written as the byte-level alphabet's characters."""
+        if word.isascii():  # these bytes stand for themselves
+            return array(self.code, [x.id for x in self.model.tokenize(self.space + word if lead else word)]).tobytes()
         try:
             word.encode("latin-1")  # of later scripts, versions of Unicode may know different letters
         except UnicodeEncodeError:
@@ -96,6 +93,9 @@ class Encoder:
             return b""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n":
             return self.raw(text)
+        for table in (self.first, self.later):
+            if len(table) > self.limit or table.held > self.most_bytes:
+                table.age()
         later, parts = self.later.__getitem__, []
         try:
             for line in text.split("\n"):

@@ -226,10 +226,10 @@ def test_long_runs_are_not_kept():
     long = [f"run{i}" * 60 for i in range(50)]
     for text in (f"a {x} b" for x in long):
         assert np.frombuffer(enc.encode(text), "<u2").tolist() == ids_of(text)
-    assert max(map(len, enc.later)) <= tokens.LONGEST and enc.later.held <= 20_000
+    assert max(map(len, enc.later)) <= tokens.LONGEST and enc.later.held <= 20_000 + 2 * tokens.LONGEST
     for i in range(300):
         enc.encode(f"a word{i} b")
-    assert len(enc.later) <= 101 and len(enc.later.old) <= 101
+    assert len(enc.later) <= 102 and len(enc.later.old) <= 102
 
 
 def test_shards_on_another_file_system(monkeypatch):
