@@ -1,4 +1,5 @@
 import collections
+import math
 import zlib
 from fractions import Fraction
 from types import SimpleNamespace
@@ -139,6 +140,32 @@ def test_weights():
         mixing.exact({"a": 0.123456789, "b": 1})
 
 
+def brute_slots(weights, slots):
+    """(source, block) of each slot, by fractions and without periods: of released blocks the earliest deadline."""
+    total = sum(weights.values())
+    names = sorted(weights, key=lambda x: (x is None, x or ""))
+    share = {n: Fraction(weights[n]) / total for n in names}
+    done = dict.fromkeys(names, 0)
+    out = []
+    for t in range(slots):
+        ready = [(math.ceil((done[n] + 1) / share[n]), i, n) for i, n in enumerate(names) if math.floor(done[n] / share[n]) <= t]
+        n = min(ready)[2]
+        out.append((n, done[n]))
+        done[n] += 1
+    return out
+
+
+def test_places_against_brute_force(spark):
+    weights = {"a": Fraction(5, 11), "b": Fraction(1, 7), "c": Fraction(1, 13), None: Fraction(2, 3)}
+    d = spark.createDataFrame([(i, "t", "en", ["a", "b", "c", None][min(3, i % 7)], 1) for i in range(900)] + [(None, "t", "en", "a", 1)], DOCS)
+    p = mixing.places(d, weights, block=3).collect()
+    assert len(p) == 901
+    counts = collections.Counter(r.source for r in p)
+    plan = brute_slots(weights, 1 + max(r.slot for r in p))
+    assert {(r.source, r.block, r.slot) for r in p} == {(s, j, t) for t, (s, j) in enumerate(plan) if 3 * j < counts[s]}
+    assert len({(r.slot, r.place) for r in p}) == 901 and {r.place for r in p} == {0, 1, 2}
+
+
 def test_sources_of_no_weight_come_last(spark):
     d = spark.createDataFrame([(i, "t", "en", "abc"[i % 3], 1) for i in range(90)], DOCS)
     p = mixing.places(d, {"a": 1, "b": 0}, block=4).collect()
