@@ -1,12 +1,13 @@
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heddle.llm import ann, common, embed_dedup, near_copies, simhash
+from heddle.llm import ann, common, embed_dedup, near_copies, queries, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -156,6 +157,23 @@ def test_embedding_links_match_brute_force(spark, dims, limit):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _, _ in odd_rows())
 
 
+def test_planted_links_match_the_registered_sql(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((120, 64))
+    x = np.concatenate([x, x[:40] + 0.12 * rng.standard_normal((40, 64)), x[:20] + 0.16 * rng.standard_normal((20, 64)), 2 * x[:10], x[40:44]]).astype(np.float32)
+    rows = [(i, v.tolist(), None if i % 31 == 0 else i % 40 % 3) for i, v in enumerate(x)] + odd_rows()[:-1]
+    vectors(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("op10_embedding_dedup", "op3_nearest"):
+        rel = con.sql(queries.ORACLE[name])
+        plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        want = sorted(map(plain, rel.fetchall()))
+        got = sorted(map(plain, queries.QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()))
+        assert got == want
+        assert name == "op3_nearest" or sum(r[rel.columns.index("n_links")] for r in want) > 60
+
+
 def test_embedding_dedup_empty(spark):
     assert embed_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
