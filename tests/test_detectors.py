@@ -118,6 +118,12 @@ def test_evaluation(spark):
     assert rt == {"CYCLE": 3, "FAN-OUT": 1, "UNATTRIBUTED": 1, "ALL": 5}
 
 
+def test_attempts_of_any_size_have_a_bucket(spark):
+    f = spark.range(1_200).agg(F.lit("fan_out").alias("detector"), F.collect_list("id").alias("txn_ids"))
+    p = spark.range(4_002).select(F.when(F.col("id") < 1_001, 0).when(F.col("id") < 4_001, 1).otherwise(2).alias("attempt_id"), F.lit("STACK").alias("typology"), F.col("id").alias("txn_id"))
+    assert sorted(tuple(x) for x in evaluation.recall_by_size(f, p).collect()) == [("1-2", 1, 0.0), (">10", 2, 0.5)]
+
+
 def test_score_metrics(spark):
     def frame(y, s):
         return spark.createDataFrame(list(zip(y, s, strict=True)), "y int, score double")
