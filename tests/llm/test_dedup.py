@@ -127,6 +127,30 @@ def test_near_copies_match_brute_force(spark, limit):
         assert near_copies.keep_first(d).where("doc_id is null").count() == 1 and near_copies.keep_first(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [100_000, 64])
+def test_near_copies_are_found_by_their_fingerprints(spark, chunk):
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**63, (300, near_copies.WORDS), dtype=np.uint64)
+    for at in range(150):  # 38 bits apart on average, from one of ten
+        words[at + 10] = words[at % 10] ^ np.packbits(rng.random((1, 256)) < 1 - near_copies.SAME, axis=1).view(np.uint64)[0]
+    x = np.bitwise_count(words[:, None] ^ words[None])
+    near = (x.sum(2) <= near_copies.WHOLE) & (x[:, :, 0] <= near_copies.RADIUS)
+    df = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words.view(np.int64))], "fp long, w0 long, w1 long, w2 long, w3 long")
+    got = [(r.a, r.b) for r in near_copies.candidates(df, chunk).collect()]
+    assert got and all(near[a, b] for a, b in got)
+    assert classes(300, got) == classes(300, [(i, j) for i in range(300) for j in range(i) if near[i, j]])
+
+
+def test_pairs_at_the_threshold_share_a_bucket():
+    n, pairs = 230_000, 20_000
+    differ = np.random.default_rng(5).random((pairs, 64 * near_copies.WORDS)) < 1 - near_copies.SAME
+    tables, lost = near_copies.shard_bits(n), np.ones(pairs, dtype=bool)
+    for t, shard in enumerate(tables):
+        for bucket in near_copies.bucket_bits(n >> tables.shape[1], t << tables.shape[1]):
+            lost &= differ[:, shard].any(1) | differ[:, bucket].any(1)
+    assert lost.sum() <= 4 and (differ.sum(1) > near_copies.WHOLE).sum() == 0
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
